@@ -15,8 +15,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Vectored reads keep a direct buffer of a whole column chunk in every thread of a growing pool; with long texts that is
+#: more than the heap. Plain reads stream the chunk.
+READ = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.options(**READ).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(col: Column) -> Column:
@@ -48,7 +53,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and computes it once."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.options(**READ).schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
