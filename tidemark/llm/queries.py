@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, fingerprints, licenses, mixing, url_filter
+from tidemark.llm import decontaminate, fingerprints, langid, licenses, lm_score, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_language": langid.op1_language,
         "op2_fingerprint": fingerprints.op2_fingerprint,
         "op3_license_scan": licenses.op3_license_scan,
+        "op4_lm_score": lm_score.op4_lm_score,
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_mix": mixing.op10_mix,
     }
 
