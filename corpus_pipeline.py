@@ -1,29 +1,64 @@
-"""The corpus pipeline: documents through the training-data operators, stage by stage."""
+"""The corpus pipeline: documents through the training-data operators, stage by stage.
+
+Every stage works on all rows that the one before kept. All but the last return the columns of documents; the last, the mix,
+has a row for each copy, with the copy's number.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, langid, line_dedup, mixing, near_dedup
+from tidemark.llm.common import READ, materialise, table
+
+
+def _plain_reads(spark: SparkSession) -> None:
+    """The stage's input is read with the settings of table(), unless the session has its own."""
+    for key, value in READ.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the model learns from those that have a label."""
+    _plain_reads(spark)
+    return langid.keep_identified(docs, langid.fit(docs, spread=F.xxhash64("doc_id")))
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that match a line before them."""
+    _plain_reads(spark)
+    return line_dedup.deduplicate(docs)
+
 
-from tidemark.llm import decontaminate, mixing
-from tidemark.llm.common import materialise, table
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, by five-word shingles."""
+    _plain_reads(spark)
+    return near_dedup.deduplicate(docs)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
+    _plain_reads(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
+    _plain_reads(spark)
     return mixing.emit(docs)
 
 
 STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", remove_lines),
+    ("near dedup", remove_near_duplicates),
     ("benchmark decontamination", remove_leaks),
     ("mixing", mix_sources),
 ]
 
-#: Stages that train models or compare documents pairwise have no SQL; tests/llm holds them against brute force.
+#: The first three stages have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

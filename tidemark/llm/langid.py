@@ -150,6 +150,19 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
     return rows.mapInArrow(scored, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose language the model tells, with at least the score `least`; texts without letters go."""
+    column = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, tuple[float, ...]] = {}
+        for batch in batches:
+            told = [model.predict(t, cache) for t in batch.column(column).to_pylist()]
+            yield batch.filter(pa.array([lang != UND and score >= least for lang, score in told], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every document from a model of those whose crc32 modulo 4 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", crc_bucket(F.col("doc_id"), 4).alias("_fold"))

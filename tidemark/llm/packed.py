@@ -11,6 +11,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Long texts are tokenised in pieces of about this many bytes, cut at white space.
@@ -85,3 +87,15 @@ def slices(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
         starts = np.flatnonzero(np.diff(of, prepend=of[0] + np.uint64(1)))
         for a, b in zip(starts, [*starts[1:], len(keys)]):
             yield int(of[a]), slice(int(a), int(b))
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `limit` bytes of a binary column, so that a task's memory doesn't follow the batch size."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop

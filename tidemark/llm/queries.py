@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, fingerprints, langid, licenses, lm_score, mixing, near_dedup, toxicity, url_filter
+from tidemark.llm import decontaminate, fingerprints, langid, licenses, line_dedup, lm_score, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_license_scan": licenses.op3_license_scan,
         "op4_lm_score": lm_score.op4_lm_score,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_near_dedup": near_dedup.op9_near_dedup,
