@@ -113,7 +113,7 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     for g in grams(w, n):
                         c[g] += k
         for (lang, n), c in rows.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "ord": pa.array([n] * len(c), pa.int32()), "gram": list(c), "n": pa.array(list(c.values()), pa.int64())})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([n] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "ord", "gram", "n"])
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", spread: Column, rows_per_lang: int = ROWS_PER_LANG) -> Model:
