@@ -70,12 +70,13 @@ def merge(*runs: DataFrame) -> DataFrame:
     return latest(out)
 
 
-def chunks(merged: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def chunks(merged: DataFrame, config: Config = DEFAULT, range_chars: int = 4) -> DataFrame:
     """Cut a merged run into output runs of sstable_size keys.
 
-    Ranks are taken inside key ranges of the sorted output (its files), and the ranges' sizes are added up, so no task sees the whole.
+    Ranks are taken inside key ranges (keys with the same first range_chars characters), and the ranges' sizes are added up, so no
+    task sees the whole. Take enough characters that a range fits a task, and not so many that the ranges are as many as the keys.
     """
-    key_range = F.substring("key", 1, 4)
+    key_range = F.substring("key", 1, range_chars)
     inside = Window.partitionBy("_range").orderBy("key")
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     rows = merged.withColumn("_range", key_range)
