@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_bucket, table
-from tidemark.llm.packed import Vocabulary, mix, pack, pack_sorted, slices, unpack, unpack_sorted
+from tidemark.llm.packed import Vocabulary, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
 
 #: Strength of the unigram distribution in a context, in tokens; discount of the unigrams.
 MU = 200.0
@@ -108,12 +108,10 @@ def _count_words(shards: int):
     """(text) of training documents -> (shard, k1, n1): the different words of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             vocabulary = Vocabulary()
-            parts = [np.bincount(vocabulary.encode(t)) for t in batch.column(0).to_pylist()]
-            count = np.zeros(len(vocabulary.ids), np.uint64)
-            for x in parts:
-                count[: len(x)] += x.astype(np.uint64)
+            parts = [vocabulary.encode(t) for t in batch.column(0).to_pylist()]
+            count = np.bincount(np.concatenate(parts), minlength=len(vocabulary.ids))
             count[0] = len(parts)
             keys = vocabulary.hashes()
             order = np.argsort(keys)
