@@ -24,19 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, table
 from tidemark.llm.graph import components
-from tidemark.llm.packed import Vocabulary, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
+from tidemark.llm.packed import Vocabulary, count_words, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
 
 PERCENT = 80
 MIN_WORDS = 4
 BLOCK_BYTES = 4 << 20
 BLOCK = 1024
 #: Lists of up to this number of lines are compared at once, longer ones from one line to the next that is not yet joined.
-SHORT_LIST = 48
+SHORT_LIST = 256
 BROADCAST_DOCS = 500_000
 _BREAK = b"\xff"  # not in any UTF-8 text
 
@@ -88,28 +89,11 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, n_lines, lines, digests): the lines that are compared."""
-    for batch in portions(batches):
-        lines = Lines(batch.column("text").to_pylist())
-        line, word, sizes = lines.sets()
-        digests = lines.digests(line, word).view(np.int64)
-        ends = np.cumsum(lines.lines_of)
-        compared = sizes >= MIN_WORDS
-        number = [lines.number[e - n : e][compared[e - n : e]] for e, n in zip(ends, lines.lines_of)]
-        digest = [digests[e - n : e][compared[e - n : e]] for e, n in zip(ends, lines.lines_of)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines.lines_of), pa.array([x.astype(np.int32) for x in number], pa.list_(pa.int32())), pa.array(digest, pa.list_(pa.int64()))], names=["doc_id", "n_lines", "lines", "digests"])
-
-
 def _ask(shards: int):
     """A block of texts -> (block, shard, k, n): its words and their counts."""
 
     def run(docs: pa.Table) -> pa.Table:
-        lines = Lines(docs.column("text").to_pylist())
-        counts = np.bincount(lines.word, minlength=lines.words).astype(np.uint32)
-        used = np.flatnonzero(counts)
-        order = used[np.argsort(lines.hashes[used])]
-        keys, counts = lines.hashes[order], counts[order]
+        keys, counts = count_words(docs.column("text").to_pylist())
         rows = [(s, pack_sorted(keys[at]), pack(counts[at])) for s, at in slices(keys, shards)]
         return pa.table([pa.array([docs.column("block")[0].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "shard", "k", "n"])
 
@@ -125,7 +109,8 @@ def _tell(rows: pa.Table) -> pa.Table:
 
 
 def _post(shards: int, percent: int):
-    """A block's texts and its words' counts -> (shard, k, digest, map, size, place): prefix entries of its classes."""
+    """A block's texts and its words' counts -> (shard, k, digest, map, size, place): prefix entries of its classes; and, in rows
+    of their own, each document's lines that are compared: (shard, doc_id, n_lines, lines, digests)."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         lines = Lines(docs.column("text").to_pylist())
@@ -139,10 +124,13 @@ def _post(shards: int, percent: int):
         line, word, sizes = lines.sets(rank)
         digests = lines.digests(line, word)
         bitmap = _fold(np.bitwise_xor, line, np.uint64(1) << (lines.hashes[word] >> np.uint64(58)), lines.count)
+        null = docs.column("doc_id").is_null().to_numpy()
+        compared = (sizes >= MIN_WORDS) & ~null[lines.doc]
         # one line of each class
         first = np.zeros(lines.count, bool)
-        first[np.unique(digests, return_index=True)[1]] = True
-        first &= sizes >= MIN_WORDS
+        at = np.flatnonzero(compared)
+        first[at[np.unique(digests[at], return_index=True)[1]]] = True
+        first &= compared
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(line)) - starts[line]
         prefix = sizes - -(-percent * sizes // 100) + 1
@@ -151,15 +139,24 @@ def _post(shards: int, percent: int):
         order = np.argsort(lines.hashes[word], kind="stable")
         line, place, keys = line[order], place[order], lines.hashes[word[order]]
         rows = [(s, pack_sorted(keys[at]), pack(digests[line[at]]), pack(bitmap[line[at]]), pack(sizes[line[at]].astype(np.uint32)), pack(place[at].astype(np.uint32))) for s, at in slices(keys, shards)]
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6))], names=["shard", "k", "digest", "map", "size", "place"])
+        at = np.flatnonzero(compared)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(lines.doc[at], minlength=len(null)))])
+        parts = lambda x, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x[at], kind))
+        listed = pa.table([pa.array(np.arange(len(null)) % shards), docs.column("doc_id").combine_chunks(), pa.array(lines.lines_of), parts(lines.number, pa.int32()), parts(digests.view(np.int64), pa.int64())], names=["shard", "doc_id", "n_lines", "lines", "digests"])
+        posted = pa.table([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6))], names=["shard", "k", "digest", "map", "size", "place"])
+        return pa.concat_tables([posted, listed], promote_options="default")
 
     return run
 
 
 def _join(percent: int):
-    """A shard's prefix entries -> (a, b): edges that join up all lines with an admissible pair."""
+    """A shard's prefix entries -> (a, b): edges that join up all lines with an admissible pair; documents' rows pass."""
 
     def run(rows: pa.Table) -> pa.Table:
+        passed = rows.filter(pc.is_null(rows.column("k"))).select(["doc_id", "n_lines", "lines", "digests"])
+        rows = rows.filter(pc.is_valid(rows.column("k")))
+        if not rows.num_rows:
+            return _edge_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), passed)
         key = np.concatenate([unpack_sorted(x) for x in rows.column("k").to_pylist()])
         digest, bits = (np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("digest", "map"))
         size, place = (np.concatenate([unpack(x, np.uint32) for x in rows.column(c).to_pylist()]).astype(np.int64) for c in ("size", "place"))
@@ -188,16 +185,7 @@ def _join(percent: int):
             ok = at[fits(at, at + d)]
             edges.append((node[ok], node[ok + d]))
         for s, n in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist()):
-            left = np.arange(s, s + n)
-            while len(left):
-                front, left = [int(left[0])], left[1:]
-                while front and len(left):
-                    x = front.pop()
-                    ok = fits(np.full(len(left), x), left)
-                    near = left[ok]
-                    edges.append((np.full(len(near), node[x]), node[near]))
-                    front += near.tolist()
-                    left = left[~ok]
+            edges += ((node[i], node[j]) for i, j in _long_list(np.arange(s, s + n), fits))
         a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
         label = np.arange(len(classes))
         while len(a):
@@ -210,11 +198,32 @@ def _join(percent: int):
                 break
         joined = np.flatnonzero(label != np.arange(len(classes)))
         signed = classes.view(np.int64)
-        return pa.table({"a": pa.array(signed[joined]), "b": pa.array(signed[label[joined]])})
+        return _edge_rows(signed[joined], signed[label[joined]], passed)
 
     return run
 
 
+def _edge_rows(a: np.ndarray, b: np.ndarray, passed: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}), passed], promote_options="default").select(["a", "b", "doc_id", "n_lines", "lines", "digests"])
+
+
+def _long_list(left: np.ndarray, fits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Admissible pairs of a long list, enough to join up what they join up. Components that are large for the list are grown
+    from one line, each line against those that are not yet in one; what such seeds leave is compared pair by pair."""
+    small, rows = 0, max(1, min(64, 4_000_000 // max(1, len(left))))
+    while len(left) and small < 4:
+        front, left, size = left[:1], left[1:], 1
+        while len(front) and len(left):
+            ok = fits(front[:rows, None], left[None, :])
+            near = ok.any(axis=0)
+            yield front[:rows][ok.argmax(axis=0)[near]], left[near]
+            front, left, size = np.concatenate([front[rows:], left[near]]), left[~near], size + int(near.sum())
+        small = small + 1 if size < 0.05 * (size + len(left)) else 0
+    for at in range(0, len(left), rows):
+        i, j = np.nonzero(fits(left[at : at + rows, None], left[None, at:]))
+        yield left[at + i], left[at + j]
+
+
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, wanted lines) -> (doc_id, line, keys): their sets."""
     for batch in portions(batches):
@@ -279,25 +288,23 @@ def _rest(percent: int):
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, removed: of each row, the numbers (from 0, ascending) of the lines that go."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    listed = rows.mapInArrow(_list_lines, "doc_id long, n_lines long, lines array<int>, digests array<long>")
-    listed = materialise(listed, "lines")
-    each = listed.filter("doc_id IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("lines", "digests")).alias("x")).select("doc_id", F.col("x.lines").alias("line"), F.col("x.digests").alias("digest"))
-    classes = each.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"))
-
-    known = rows.filter("doc_id IS NOT NULL")
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     shards = max(8, blocks)
-    dealt = known.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     told = dealt.groupBy("block").applyInArrow(_ask(shards), "block long, shard long, k binary, n binary").groupBy("shard").applyInArrow(_tell, "block long, shard long, n binary")
-    posted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_post(shards, percent), "shard long, k binary, digest binary, map binary, size binary, place binary")
-    edges = materialise(posted.groupBy("shard").applyInArrow(_join(percent), "a long, b long"), "line-edges")
-    clusters = components(edges, "line-clusters").select(F.col("node").alias("digest"), F.col("label").alias("cluster"))
+    lists = "doc_id long, n_lines long, lines array<int>, digests array<long>"
+    posted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_post(shards, percent), f"shard long, k binary, digest binary, map binary, size binary, place binary, {lists}")
+    joined = materialise(posted.groupBy("shard").applyInArrow(_join(percent), f"a long, b long, {lists}"), "line-edges")
+    listed = joined.filter("a IS NULL").select("doc_id", "n_lines", "lines", "digests")
+    each = listed.filter("doc_id IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("lines", "digests")).alias("x")).select("doc_id", F.col("x.lines").alias("line"), F.col("x.digests").alias("digest"))
+    classes = each.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"))
+    clusters = components(joined.filter("a IS NOT NULL").select("a", "b"), "line-clusters").select(F.col("node").alias("digest"), F.col("label").alias("cluster"))
 
     members = materialise(clusters.join(classes.select("digest", "first.doc_id", "first.line"), on="digest"), "line-members")
     wanted = members.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
     wanted = F.broadcast(wanted) if members.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else wanted
-    sets = known.join(wanted, on="doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted, "doc_id long, line int, keys binary")
+    sets = rows.join(wanted, on="doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted, "doc_id long, line int, keys binary")
     members = materialise(members.join(sets, on=["doc_id", "line"]).dropDuplicates(["digest"]), "line-sets")
 
     hubs = members.groupBy("cluster").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.count("*").alias("n"))

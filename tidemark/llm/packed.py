@@ -7,7 +7,7 @@ shuffle's compression makes use of.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +48,17 @@ class Vocabulary:
         return np.fromiter(map(xxhash.xxh64_intdigest, self.ids), np.uint64, len(self.ids))
 
 
+def count_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different words of texts, ascending, and how often each occurs."""
+    counts: Counter[bytes] = Counter()
+    for text in texts:
+        for words in word_lists(text):
+            counts.update(words)
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(counts.values(), np.int64, len(counts))[order].astype(np.uint32)
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two 64-bit hashes, in order."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29)))
