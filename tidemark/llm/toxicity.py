@@ -22,7 +22,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_bucket, discard, materialise, table
@@ -169,16 +169,17 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(rows), pa.int32()), *(pa.array([x[c] for x in rows], pa.string()) for c in range(3)), pa.array([x[3] for x in rows], pa.int64())], names=["toxic", "g", "h", "w", "n"])
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", spread: Column, rows_per_class: int = ROWS_PER_CLASS) -> KneserNey | None:
-    """The models and their logistic map; None without rows of both classes. spread: an integer column that chooses the
-    sample evenly and alike on every run."""
-    rows = labelled.select((F.col(label_col) > 0).cast("int").alias("toxic"), F.col(text_col).alias("text"), F.pmod(spread, F.lit(1 << 30)).alias("_x")).filter("toxic IS NOT NULL AND text IS NOT NULL")
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> KneserNey | None:
+    """The models and their logistic map; None without rows of both classes. labels: id and label, one row a document. The sample
+    is chosen among the labels, by a hash of the id, and its ids are broadcast: no text but the sample's is moved."""
+    rows = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("_x")).filter("toxic IS NOT NULL AND _id IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
     bound = min(rows_per_class, *sizes.values())
     limit = F.when(F.col("toxic") == 1, int(bound / sizes[1] * (1 << 30))).otherwise(int(bound / sizes[0] * (1 << 30)))
-    sample = rows.filter(F.col("_x") < limit)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    sample = texts.join(F.broadcast(rows.filter(F.col("_x") < limit)), on="_id")
     part = F.pmod(F.col("_x"), F.lit(HELD))
     runs = sample.filter(part != 0).select("toxic", "text").mapInArrow(_triples, "toxic int, g string, h string, w string, n long")
     one = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
@@ -230,9 +231,8 @@ def score(docs: DataFrame, model: KneserNey | None, *, text_col: str = "text", k
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document by models of the labelled ones whose crc32 modulo 5 is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learn = docs.filter(crc_bucket(F.col("doc_id"), 5) != 0).join(labels, on="doc_id", how="inner")
-    model = fit(learn, spread=F.xxhash64("doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(crc_bucket(F.col("doc_id"), 5) != 0)
+    model = fit(docs, labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     rows = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
     out = score(rows, model, keep=["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
