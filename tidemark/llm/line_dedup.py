@@ -342,6 +342,18 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.filter(F.col("_id").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
+SQL = r"""
+WITH d AS (SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM d),
+s AS (SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM l),
+c AS (SELECT row_number() OVER (ORDER BY min((doc_id, k))) AS c, words, len(words) AS n, min((doc_id, k)) AS first FROM s WHERE len(words) >= 4 GROUP BY words),
+t AS (SELECT c, n, unnest(words) AS word FROM c),
+g AS (SELECT DISTINCT c FROM (SELECT y.c, x.n + y.n AS both, count(*) AS same FROM t x JOIN t y ON x.word = y.word AND x.c < y.c AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY y.c, x.c, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*)))),
+o AS (SELECT doc_id, list(k ORDER BY k) AS gone FROM s JOIN c USING (words) WHERE (doc_id, k) <> first OR c IN (FROM g) GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed_lines FROM d LEFT JOIN o USING (doc_id)
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated lines of all documents."""
     out = repeated_lines(table(spark, sf_dir, "documents"))

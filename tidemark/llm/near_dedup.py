@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, table
 from tidemark.llm.graph import components
-from tidemark.llm.packed import Vocabulary, mix, pack_sorted, unpack_sorted
+from tidemark.llm.packed import Vocabulary, mix, pack_sorted, portions, unpack_sorted
 
 BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
@@ -98,7 +98,7 @@ def _sketch(k: int):
     """(doc_id, text) -> (doc_id, n, digest, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             sizes, digests, sigs = [], [], []
             for keys in _sets(batch, k):
                 sizes.append(len(keys))
@@ -113,7 +113,7 @@ def _full(k: int):
     """(doc_id, text) -> (doc_id, sig, keys), for candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             sets = list(_sets(batch, k))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.array([pack_sorted(x) for x in sets], pa.binary())], names=["doc_id", "sig", "keys"])
 
@@ -239,6 +239,19 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return docs.join(gone, on=docs[id_col] == gone["_gone"], how="left_anti")
 
 
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE t END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM w UNION SELECT r.id, b FROM r JOIN both_ways ON a = reached),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c ON c.id = w.doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents by two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)

@@ -25,6 +25,8 @@ def oracle_sql() -> dict[str, str]:
         "op2_fingerprint": fingerprints.SQL,
         "op3_license_scan": licenses.SQL,
         "op5_url_filter": url_filter.SQL,
+        "op6_line_dedup": line_dedup.SQL,
         "op7_decontaminate": decontaminate.SQL,
+        "op9_near_dedup": near_dedup.SQL,
         "op10_mix": mixing.SQL,
     }
