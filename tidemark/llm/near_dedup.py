@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         labels = components(links.unionByName(more), "near-labels").select(F.col("node").alias("doc_id"), "label")
 
     classes = classes.join(labels.withColumnRenamed("doc_id", "rep"), on="rep", how="left").select("digest", F.coalesce("label", "rep").alias("component"))
+    classes = materialise(classes, "near-classes")  # a join of two plain shuffles, of which Spark can split a hot class
     out = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, on="digest", how="left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
