@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,10 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and computes it once."""
+def materialise(df: DataFrame, what: str, *, release: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and computes it once.
+
+    release: the plan behind it shuffled whole texts. Spark deletes shuffle files when the driver has collected the plan as garbage,
+    which a large driver seldom does by itself; this asks for it.
+    """
     path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.options(**READ).schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out

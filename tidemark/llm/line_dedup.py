@@ -25,20 +25,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, table
 from tidemark.llm.graph import components
-from tidemark.llm.packed import Vocabulary, count_words, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
+from tidemark.llm.packed import Vocabulary, count_words, mix, pack, pack_sorted, slices, unpack, unpack_sorted
 
 PERCENT = 80
 MIN_WORDS = 4
 BLOCK_BYTES = 4 << 20
-BLOCK = 1024
+BLOCK = 8192
 #: Lists of up to this number of lines are compared at once, longer ones from one line to the next that is not yet joined.
 SHORT_LIST = 256
 BROADCAST_DOCS = 500_000
+#: Removed lines' numbers (and 4 for each document) up to which they are broadcast, 4 bytes each; more are joined by shuffle.
+BROADCAST_NUMBERS = 8_000_000
 _BREAK = b"\xff"  # not in any UTF-8 text
 
 
@@ -226,17 +229,14 @@ def _long_list(left: np.ndarray, fits) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, wanted lines) -> (doc_id, line, keys): their sets."""
-    for batch in portions(batches):
-        lines = Lines(batch.column("text").to_pylist())
-        line, word, sizes = lines.sets()
-        starts = np.cumsum(sizes) - sizes
-        docs = np.cumsum(lines.lines_of) - lines.lines_of
+    for batch in batches:
         out = []
-        for i, (doc, wanted) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist())):
+        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+            lines = (text or b"").split(b"\n")
             for k in wanted:
-                if k < lines.lines_of[i]:
-                    g = docs[i] + k
-                    out.append((doc, k, pack_sorted(np.sort(lines.hashes[word[starts[g] : starts[g] + sizes[g]]]))))
+                if k < len(lines):
+                    words = set(lines[k].lower().split())
+                    out.append((doc, k, pack_sorted(np.sort(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "line", "keys"])
 
 
@@ -295,7 +295,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     told = dealt.groupBy("block").applyInArrow(_ask(shards), "block long, shard long, k binary, n binary").groupBy("shard").applyInArrow(_tell, "block long, shard long, n binary")
     lists = "doc_id long, n_lines long, lines array<int>, digests array<long>"
     posted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_post(shards, percent), f"shard long, k binary, digest binary, map binary, size binary, place binary, {lists}")
-    joined = materialise(posted.groupBy("shard").applyInArrow(_join(percent), f"a long, b long, {lists}"), "line-edges")
+    joined = materialise(posted.groupBy("shard").applyInArrow(_join(percent), f"a long, b long, {lists}"), "line-edges", release=True)
     listed = joined.filter("a IS NULL").select("doc_id", "n_lines", "lines", "digests")
     each = listed.filter("doc_id IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("lines", "digests")).alias("x")).select("doc_id", F.col("x.lines").alias("line"), F.col("x.digests").alias("digest"))
     classes = each.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"))
@@ -335,7 +335,9 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the lines that match a line before them; documents of which no word is left go as a whole."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent).filter("size(removed) > 0")
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")).dropDuplicates(["_id"])
+    gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")).dropDuplicates(["_id"]), "line-removed", release=True)
+    if (gone.agg(F.sum(F.size("_removed") + 4)).first()[0] or 0) <= BROADCAST_NUMBERS:
+        gone = F.broadcast(gone)
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
     out = docs.join(gone, on=docs[id_col] == gone["_id"], how="left")
     out = out.withColumn(text_col, F.when(F.col("_id").isNull(), F.col(text_col)).otherwise(kept))
