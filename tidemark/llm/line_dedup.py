@@ -36,7 +36,7 @@ from tidemark.llm.packed import Vocabulary, count_words, mix, pack, pack_sorted,
 PERCENT = 80
 MIN_WORDS = 4
 BLOCK_BYTES = 4 << 20
-BLOCK = 8192
+BLOCK = 32_768
 #: Lists of up to this number of lines are compared at once, longer ones from one line to the next that is not yet joined.
 SHORT_LIST = 256
 BROADCAST_DOCS = 500_000
