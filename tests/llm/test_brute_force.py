@@ -180,3 +180,17 @@ def test_kneser_ney_is_a_distribution():
     model = toxicity.KneserNey(words_, [(5, 2), (8, 3), (13, 3)], {("a", "b"): (3, 2)}, {"a": (4, 3)})
     assert model.word["c"] > 0 > model.word["a"]
     assert model.margin("") == 0.0 and model.margin(None) == 0.0 and model.margin("unknown words") == 0.0
+
+
+def test_toxicity_of_short_and_wholly_toxic_texts():
+    """All of a text's evidence counts: no part of it is taken off as the text's own level."""
+    words_ = {"a": (3, 1, 4), "b": (2, 5, 7), "c": (0, 4, 4)}
+    model = toxicity.KneserNey(words_, [(5, 2), (10, 3), (15, 3)], {}, {})
+    for text in ("c", "c c c", "c c b", "c unknown"):
+        assert model.margin(text) > 0 > model.margin("a")
+    assert model.margin("c c b") == pytest.approx((2 * model.word["c"] + model.word["b"]) / 3)
+    model.learn_shifts([("de", 0, 1.0, 2), ("de", 1, 9.0, 1), ("en", 0, -1.0, 4), ("en", 0, 0.0, 0)])
+    assert model.shift == {"de": 0.5, "en": -0.25, None: 0.125}
+    assert model.margin("c c", "de") == pytest.approx(model.word["c"] - 0.5)
+    assert model.margin("c", "xx") == model.margin("c", None) == pytest.approx(model.word["c"] - 0.125)
+    assert model.margin("", "de") == 0.0

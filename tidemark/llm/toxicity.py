@@ -2,14 +2,14 @@
 
 Two bigram models, of toxic and of ordinary documents, are smoothed by interpolated Kneser-Ney: bigram continuation counts
 discounted within the class, then the class's continuation counts (at most one for each document), then continuation counts that both
-classes share, then a uniform share for unknown words. A text's margin is the difference of the two log-likelihoods, divided by its tokens, less the shift
-that its tokens have in common; a logistic map from margin to score is fitted on labelled documents that the models have not
-seen.
+classes share, then a uniform share for unknown words. A text's margin is the difference of the two log-likelihoods, divided by its tokens, less the shift of
+its language (column lang): the classes differ in their shares of languages, so all words of a language lean to one class. The shifts,
+and a logistic map from margin to score, are fitted on labelled documents that the models have not seen.
 
 The models are fitted on at most about `rows_per_class` documents of each class, chosen by a hash of the id, the same number of
 both; every fourth of them is kept for the logistic map.
 
-Defined results: a null or empty text has no margin and gets the score of the rest of the map, below 0.5; labels that are
+Defined results: a null or empty text has no margin and gets the score of the rest of the map, below 0.5; a language that is null or was not seen has the shift of all languages together; labels that are
 null teach nothing; without rows of both classes every score is 0. Repeated rows give a row each; of a document that has
 several labels, the largest counts.
 """
@@ -22,7 +22,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_bucket, discard, materialise, table
@@ -94,11 +94,11 @@ class KneserNey:
                 diff[w] = each[1] - each[0]
             self.context[h] = (math.log(weight[1]) - math.log(weight[0]), diff)
         self.slope, self.start = 1.0, 0.0
+        self.shift: dict[str | None, float] = {}
 
-    def margin(self, text: str | None) -> float:
-        """The mean over tokens of log p(token | toxic) - log p(token | ordinary), as far as it differs from the text's
-        median: a class that has more of one language, or of one long text's, shifts all tokens of that language alike,
-        and that shift is no evidence. Words that the models don't know say nothing."""
+    def evidence(self, text: str | None) -> tuple[float, int, int]:
+        """The sum over tokens of log p(token | toxic) - log p(token | ordinary), the tokens that the models know, and all tokens.
+        Words that the models don't know say nothing."""
         n, h = 0, ""
         diffs: Counter = Counter()
         word, context = self.word, self.context
@@ -115,17 +115,27 @@ class KneserNey:
                     here.append(base)
                 h = w
             diffs.update(here)
-        if not diffs:
-            return 0.0
-        left, middle = sum(diffs.values()) / 2, 0.0
-        for middle in sorted(diffs):
-            left -= diffs[middle]
-            if left <= 0:
-                break
-        return sum(c * (x - middle) for x, c in sorted(diffs.items())) / n
+        return sum(c * x for x, c in sorted(diffs.items())), diffs.total(), n
+
+    def margin(self, text: str | None, lang: str | None = None) -> float:
+        return self.shifted(*self.evidence(text), lang)
+
+    def shifted(self, total: float, known: int, n: int, lang: str | None) -> float:
+        """The mean evidence of n tokens, of which the known ones are rid of their language's shift."""
+        return (total - known * self.shift.get(lang, self.shift.get(None, 0.0))) / n if known else 0.0
+
+    def score(self, text: str | None, lang: str | None = None) -> float:
+        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.margin(text, lang) + self.start))))
 
-    def score(self, text: str | None) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.margin(text) + self.start))))
+    def learn_shifts(self, seen: list[tuple[str | None, int, float, int]]) -> None:
+        """(lang, toxic, total evidence, known tokens): a language's shift is the mean evidence of a known token in its ordinary
+        documents, each document counting once."""
+        of: dict[str | None, list[float]] = defaultdict(list)
+        for lang, toxic, total, known in seen:
+            if not toxic and known:
+                for key in {lang, None}:
+                    of[key].append(total / known)
+        self.shift = {lang: math.fsum(x) / len(x) for lang, x in of.items()}
 
     def calibrate(self, seen: list[tuple[float, int]], share: float) -> None:
         """Logistic regression of labels on margins by Newton's method; share: the weight of all toxic rows together."""
@@ -169,7 +179,7 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(rows), pa.int32()), *(pa.array([x[c] for x in rows], pa.string()) for c in range(3)), pa.array([x[3] for x in rows], pa.int64())], names=["toxic", "g", "h", "w", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> KneserNey | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", rows_per_class: int = ROWS_PER_CLASS) -> KneserNey | None:
     """The models and their logistic map; None without rows of both classes. labels: id and label, one row a document. The sample
     is chosen among the labels, by a hash of the id, and its ids are broadcast: no text but the sample's is moved."""
     rows = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("_x")).filter("toxic IS NOT NULL AND _id IS NOT NULL")
@@ -178,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return None
     bound = min(rows_per_class, *sizes.values())
     limit = F.when(F.col("toxic") == 1, int(bound / sizes[1] * (1 << 30))).otherwise(int(bound / sizes[0] * (1 << 30)))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), _language(docs, lang_col)).filter("text IS NOT NULL")
     sample = texts.join(F.broadcast(rows.filter(F.col("_x") < limit)), on="_id")
     part = F.pmod(F.col("_x"), F.lit(HELD))
     runs = sample.filter(part != 0).select("toxic", "text").mapInArrow(_triples, "toxic int, g string, h string, w string, n long")
@@ -202,18 +212,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     discard(pairs)
     discard(words)
 
-
-    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pa.array([model.margin(t) for t in batch.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["toxic", "margin"])
-
-    held = sample.filter(part == 0).select("toxic", "text").mapInArrow(margins, "toxic int, margin double").collect()
-    model.calibrate(sorted((r["margin"], r["toxic"]) for r in held), sizes[1] ** 0.5 / (sizes[0] ** 0.5 + sizes[1] ** 0.5))
+            found = [model.evidence(t) for t in batch.column(2).to_pylist()]
+            out = [pa.array([x[c] for x in found], kind) for c, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=["toxic", "_lang", "total", "known", "n"])
+
+    held = sample.filter(part == 0).select("toxic", "_lang", "text").mapInArrow(evidence, "toxic int, _lang string, total double, known long, n long").collect()
+    model.learn_shifts([(r["_lang"], r["toxic"], r["total"], r["known"]) for r in held])
+    seen = sorted((model.shifted(r["total"], r["known"], r["n"], r["_lang"]), r["toxic"]) for r in held)
+    model.calibrate(seen, sizes[1] ** 0.5 / (sizes[0] ** 0.5 + sizes[1] ** 0.5))
     return model
 
 
-def score(docs: DataFrame, model: KneserNey | None, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _language(docs: DataFrame, lang_col: str) -> Column:
+    return (F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")).alias("_lang")
+
+
+def score(docs: DataFrame, model: KneserNey | None, *, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs, and score."""
     keep = docs.columns if keep is None else keep
     if model is None:
@@ -221,18 +237,18 @@ def score(docs: DataFrame, model: KneserNey | None, *, text_col: str = "text", k
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pa.array([model.score(t) for t in batch.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], out], names=[*batch.schema.names[1:], "score"])
+            out = pa.array([model.score(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], out], names=[*batch.schema.names[2:], "score"])
 
-    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c) for c in keep])
-    return rows.mapInArrow(scored, rows.drop("_text").schema.add("score", "double"))
+    rows = docs.select(F.col(text_col).alias("_text"), _language(docs, lang_col), *[F.col(c) for c in keep])
+    return rows.mapInArrow(scored, rows.drop("_text", "_lang").schema.add("score", "double"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document by models of the labelled ones whose crc32 modulo 5 is not 0."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").filter(crc_bucket(F.col("doc_id"), 5) != 0)
     model = fit(docs, labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    rows = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
+    rows = docs.select("doc_id", "text", "lang", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
     out = score(rows, model, keep=["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
