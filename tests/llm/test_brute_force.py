@@ -194,3 +194,18 @@ def test_toxicity_of_short_and_wholly_toxic_texts():
     assert model.margin("c c", "de") == pytest.approx(model.word["c"] - 0.5)
     assert model.margin("c", "xx") == model.margin("c", None) == pytest.approx(model.word["c"] - 0.125)
     assert model.margin("", "de") == 0.0
+
+
+def test_line_dedup_of_short_lines(spark, monkeypatch):
+    """With min_words 1, and in the pipeline's stage, lines of one to three words go like others."""
+    rng = random.Random(7)
+    texts = {i: "\n".join(" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(7))) for _ in range(6)) for i in range(60)}
+    texts[100], texts[101] = "一段没有空格的文字。\nfresh words only here", "一段没有空格的文字。"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "MIN_WORDS", 1)
+    want = repeated(texts)
+    monkeypatch.undo()
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(df, min_words=1).collect()} == want
+    kept = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in texts.items()}
+    changed = {i: t for i, t in kept.items() if not want[i] or t.split()}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(df).collect()} == changed

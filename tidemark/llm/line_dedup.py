@@ -2,7 +2,9 @@
 
 A line's set is its distinct words (A-Z lowered, between ASCII white space), as 64-bit hashes; two lines match if the Jaccard
 similarity of their sets is at least PERCENT. A line goes if a line before it, in the order of document ids and line numbers,
-matches it. Lines of fewer than MIN_WORDS distinct words are kept: they are alike by chance.
+matches it. deduplicate() compares every line that has a word; the query op6_line_dedup, as its SQL, keeps lines of fewer than
+MIN_WORDS distinct words. Sets so small that a word more or less is no match (of 1 to 3 words at 80 percent) match equal sets
+only, so they are in the classes and not in the join.
 
 Lines of equal sets are one class, represented by its first line. The others are found by a prefix join: words are ordered by
 rarity (counts over all texts, then hash), and two sets that match must share one of the first n - ceil(t n) + 1 words of each.
@@ -111,7 +113,7 @@ def _tell(rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("block"), rows.column("shard"), pa.array([pack(totals[e - len(x) : e]) for x, e in zip(keys, ends)], pa.binary())], names=["block", "shard", "n"])
 
 
-def _post(shards: int, percent: int):
+def _post(shards: int, percent: int, min_words: int):
     """A block's texts and its words' counts -> (shard, k, digest, map, size, place): prefix entries of its classes; and, in rows
     of their own, each document's lines that are compared: (shard, doc_id, n_lines, lines, digests)."""
 
@@ -128,12 +130,12 @@ def _post(shards: int, percent: int):
         digests = lines.digests(line, word)
         bitmap = _fold(np.bitwise_xor, line, np.uint64(1) << (lines.hashes[word] >> np.uint64(58)), lines.count)
         null = docs.column("doc_id").is_null().to_numpy()
-        compared = (sizes >= MIN_WORDS) & ~null[lines.doc]
+        compared = (sizes >= min_words) & ~null[lines.doc]
         # one line of each class
         first = np.zeros(lines.count, bool)
         at = np.flatnonzero(compared)
         first[at[np.unique(digests[at], return_index=True)[1]]] = True
-        first &= compared
+        first &= compared & (100 * sizes >= percent * (sizes + 1))  # smaller sets match equal ones only
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(line)) - starts[line]
         prefix = sizes - -(-percent * sizes // 100) + 1
@@ -285,8 +287,11 @@ def _rest(percent: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_lines, removed: of each row, the numbers (from 0, ascending) of the lines that go."""
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, n_lines, removed: of each row, the numbers (from 0, ascending) of the lines that go; lines of fewer than min_words (at least 1)
+    distinct words stay."""
+    if min_words < 1:
+        raise ValueError("min_words must be at least 1")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -294,7 +299,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     told = dealt.groupBy("block").applyInArrow(_ask(shards), "block long, shard long, k binary, n binary").groupBy("shard").applyInArrow(_tell, "block long, shard long, n binary")
     lists = "doc_id long, n_lines long, lines array<int>, digests array<long>"
-    posted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_post(shards, percent), f"shard long, k binary, digest binary, map binary, size binary, place binary, {lists}")
+    posted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_post(shards, percent, min_words), f"shard long, k binary, digest binary, map binary, size binary, place binary, {lists}")
     joined = materialise(posted.groupBy("shard").applyInArrow(_join(percent), f"a long, b long, {lists}"), "line-edges", release=True)
     listed = joined.filter("a IS NULL").select("doc_id", "n_lines", "lines", "digests")
     each = listed.filter("doc_id IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("lines", "digests")).alias("x")).select("doc_id", F.col("x.lines").alias("line"), F.col("x.digests").alias("digest"))
@@ -334,7 +339,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the lines that match a line before them; documents of which no word is left go as a whole."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent).filter("size(removed) > 0")
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent, min_words=1).filter("size(removed) > 0")
     gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")).dropDuplicates(["_id"]), "line-removed", release=True)
     if (gone.agg(F.sum(F.size("_removed") + 4)).first()[0] or 0) <= BROADCAST_NUMBERS:
         gone = F.broadcast(gone)
