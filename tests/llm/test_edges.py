@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, and extra columns whose names clash."""
 
+from pathlib import Path
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,21 @@ def test_licenses(spark, docs, none):
     assert {r["n_license_lines"] for r in licenses.scan(texts, nothing).collect()} == {0}
 
 
+def test_licenses_of_usual_files(spark):
+    mit, bsd = licenses._SHORT[0][1], licenses._BSD3
+    gpl = (Path(licenses.__file__).parent / "license_texts" / "GPL-3.0-only.txt").read_text()
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit),
+        (2, "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + bsd),
+        (3, gpl),
+        (4, "a text\n// SPDX-License-Identifier: Apache-2.0\nThis project is licensed under the Mozilla Public License 2.0\n"),
+        (5, mit[:200]),
+    ]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(licenses.scan(texts, licenses.known_digests(spark)), "text_licenses", "line_licenses")
+    assert got == [(1, ["MIT"], []), (2, ["BSD-3-Clause"], []), (3, ["GPL-3.0-only"], []), (4, [], ["Apache-2.0", "MPL-2.0"]), (5, [], [])]
+
+
 def test_lm_score(docs, none):
     learn = F.coalesce(F.col("doc_id") != 1, F.lit(False))
     got = lm_score.score(docs, learn).collect()

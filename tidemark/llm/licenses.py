@@ -10,13 +10,15 @@ each; an empty catalogue matches nothing; a digest of two licences reports both.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-#: Short licence texts and customary notices (SPDX id, text), from the public SPDX list.
-CATALOGUE = (
+#: Short licence texts and customary notices (SPDX id, text). The first five are the texts of whole files.
+_SHORT = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
@@ -29,6 +31,51 @@ CATALOGUE = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
+_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_BSD3 = _SHORT[3][1].replace("THIS SOFTWARE IS PROVIDED BY", _CLAUSE + "THIS SOFTWARE IS PROVIDED BY")
+#: The title lines that short texts customarily stand under.
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+}
+#: The names that one-line notices give a licence.
+_NAMES = {
+    "MIT": ("the MIT License", "MIT"),
+    "ISC": ("the ISC License", "ISC"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License",),
+    "BSD-3-Clause": ("the BSD 3-Clause License",),
+    "Zlib": ("the zlib License",),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"),
+    "GPL-2.0-only": ("the GNU General Public License, version 2",),
+    "GPL-3.0-only": ("the GNU General Public License, version 3",),
+    "LGPL-2.1-only": ("the GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0-only": ("the GNU Lesser General Public License, version 3",),
+    "AGPL-3.0-only": ("the GNU Affero General Public License, version 3",),
+    "EPL-2.0": ("the Eclipse Public License, version 2.0", "the Eclipse Public License 2.0"),
+    "CC0-1.0": ("CC0 1.0",),
+    **{f"CC-BY{x}-4.0": (f"CC BY{x} 4.0",) for x in ("", "-SA", "-NC", "-ND", "-NC-SA", "-NC-ND")},
+}
+_NOTICES = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.")
+
+
+def _catalogue() -> tuple[tuple[str, str], ...]:
+    """The short texts alone and under their titles, with and without a line of reserved rights; the texts of files, which have
+    their titles; and the notices."""
+    short = (*_SHORT[:5], ("BSD-3-Clause", _BSD3))
+    headed = [(k, f"{title}\n{rights}\n{text}") for k, text in short for title in ("", *_TITLES[k]) for rights in ("", "All rights reserved.\n") if title or rights]
+    files = [(f.name.removesuffix(".txt"), f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    notices = [(k, form.format(name)) for k, names in _NAMES.items() for name in names for form in _NOTICES]
+    notices += [(k, f"SPDX-License-Identifier: {k}") for k in sorted({*_NAMES, "0BSD", *(k for k, _ in files)})]
+    return (*_SHORT, short[-1], *headed, *files, *notices)
+
+
+#: The known texts (SPDX id, text). known_digests() takes any other table of them.
+CATALOGUE = _catalogue()
 #: Spellings that count as equal, from the SPDX matching guidelines.
 SPELLINGS = (("licence", "license"), ("https://", "http://"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("labour", "labor"), ("organisation", "organization"), ("authorisation", "authorization"), ("copyright owner", "copyright holder"), ("&", " and "))
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
