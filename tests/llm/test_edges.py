@@ -151,6 +151,14 @@ def test_decontamination(docs, none, items):
     assert [i for (i,) in by_id(kept)] == sorted([2, 3, 4, None, 7], key=repr)
 
 
+def test_decontamination_of_capital_sigmas(spark):
+    """lower() of a whole text makes another sigma than lower() of its words."""
+    text = "Π.Σ. Παπαδόπουλος ΑΣ.Β one TWO"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + text.replace("TWO", "two"))], "doc_id long, text string")
+    assert by_id(decontaminate.scan(docs, bench), "hits", "items") == [(1, list(range(1, 8)), ["1"])]
+
+
 def test_toxicity(docs, none):
     labels = docs.sparkSession.createDataFrame([(1, 1), (7, 0), (2, 1), (None, 1), (8, None), (99, 0)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
