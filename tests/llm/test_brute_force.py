@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from tidemark.llm import langid, line_dedup, lm_score, near_dedup, toxicity
+from tidemark.llm import langid, line_dedup, lm_score, near_dedup, packed, toxicity
 
 
 def documents(spark, data):
@@ -56,7 +56,7 @@ def repeated(texts):
         gone = []
         for k, line in enumerate((texts[i] or "").split("\n")):
             s = frozenset(words(line))
-            if len(s) < line_dedup.MIN_WORDS:
+            if not s:
                 continue
             common = collections.Counter(j for w in s for j in inside[w])
             if any(100 * n >= 80 * (len(s) + len(sets[j]) - n) for j, n in common.items()):
@@ -126,7 +126,6 @@ def test_line_dedup(spark, data):
 
 
 def test_line_dedup_of_one_large_group(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BLOCK", 8)
     monkeypatch.setattr(line_dedup, "SHORT_LIST", 4)
     rng = random.Random(6)
     base = [f"w{i}" for i in range(30)]
@@ -196,16 +195,41 @@ def test_toxicity_of_short_and_wholly_toxic_texts():
     assert model.margin("", "de") == 0.0
 
 
-def test_line_dedup_of_short_lines(spark, monkeypatch):
-    """With min_words 1, and in the pipeline's stage, lines of one to three words go like others."""
+def test_line_dedup_of_short_lines(spark):
+    """Lines of one to three words go like others."""
     rng = random.Random(7)
     texts = {i: "\n".join(" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(7))) for _ in range(6)) for i in range(60)}
     texts[100], texts[101] = "一段没有空格的文字。\nfresh words only here", "一段没有空格的文字。"
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    monkeypatch.setattr(line_dedup, "MIN_WORDS", 1)
     want = repeated(texts)
-    monkeypatch.undo()
-    assert {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(df, min_words=1).collect()} == want
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(df).collect()} == want
     kept = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in texts.items()}
     changed = {i: t for i, t in kept.items() if not want[i] or t.split()}
     assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(df).collect()} == changed
+
+
+@pytest.mark.parametrize("short", [4, 512])
+def test_line_dedup_of_dealt_lists(spark, monkeypatch, short):
+    """Lists dealt out to groups, and lines that match none of the few that their lists hand on."""
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(line_dedup, "LIST", 5)
+    monkeypatch.setattr(line_dedup, "HANDED", 1)
+    monkeypatch.setattr(line_dedup, "SHORT_LIST", short)
+    rng = random.Random(8)
+    texts = {}
+    for i in range(120):
+        base = [f"w{j}" for j in rng.sample(range(14), 11)]
+        texts[i] = " ".join(base) + "\n" + " ".join(f"v{j}" for j in rng.sample(range(9), rng.randrange(4, 8)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(df).collect()} == repeated(texts)
+
+
+def test_hasher():
+    """Equal words have equal hashes wherever they stand, and others have others; words as long as a chunk too."""
+    hasher = packed.Hasher()
+    data = b"Ab ab\tb\nA " + b"x" * 70_000 + b" " + b"X" * 70_000 + b" ab " + b"y " * 40_000 + "é É".encode()
+    words_, (hashes, starts) = data.lower().split(), hasher(data)
+    assert len(words_) == len(hashes) and data[starts[2] : starts[2] + 1] == b"b"
+    seen = dict(zip(words_, hashes.tolist()))
+    assert [seen[w] for w in words_] == hashes.tolist() and len(set(seen.values())) == len(seen)
+    assert [len(x) for x in hasher(b"")] == [0, 0]

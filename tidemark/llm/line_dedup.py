@@ -2,22 +2,23 @@
 
 A line's set is its distinct words (A-Z lowered, between ASCII white space), as 64-bit hashes; two lines match if the Jaccard
 similarity of their sets is at least PERCENT. A line goes if a line before it, in the order of document ids and line numbers,
-matches it. deduplicate() compares every line that has a word; the query op6_line_dedup, as its SQL, keeps lines of fewer than
-MIN_WORDS distinct words. Sets so small that a word more or less is no match (of 1 to 3 words at 80 percent) match equal sets
-only, so they are in the classes and not in the join.
+matches it. Every line that has a word is compared. Sets so small that a word more or less is no match (of 1 to 3 words at
+80 percent) match equal sets only.
 
-Lines of equal sets are one class, represented by its first line. The others are found by a prefix join: words are ordered by
-rarity (counts over all texts, then hash), and two sets that match must share one of the first n - ceil(t n) + 1 words of each.
-A shard holds the prefix entries of a range of word hashes; of two entries of a word, the length, the position and a 64-bit parity
-bitmap (whose distance is at most that of the sets) must admit a match. A shard emits not the pairs but what they join up to.
-In each cluster, every line is verified against the cluster's first; lines that are left are verified, in blocks of at most BLOCK
-against BLOCK, against all that come before them.
+Lines of equal sets (128-bit digests) are one class, represented by its first line; the others of it go. Classes are compared by a
+prefix join: words are ordered by rarity, and two sets that match share one of the first n - ceil(t n) + 1 words of each. Of two
+entries of a word, the lengths, the positions and a 64-bit parity bitmap (whose distance is at most that of the sets) must admit a
+match. Of the earlier lines that a line may match, a list of entries hands on a few, which are verified on the words themselves; lines
+that match none of these, though a list had more, are joined again, and then all that is admitted is verified.
 
-Word counts reach the lines as in lm_score: documents are dealt into blocks, which ask the shards for the counts of their
-words; a block sends one prefix entry for each class it has, so a line that is everywhere costs one for each block.
+Rarity is counted over all texts in 2**RARITY_BITS buckets of word hashes: the order needs to be the same everywhere, not to tell
+every word from every other, and so the table that all tasks share has one size, whatever the vocabulary. A word that heads very
+many lines would be one long list. How many is estimated beforehand from every SAMPLE-th line, and such a list is dealt out to
+pairs of groups, so that each two lines still meet in one of them; this moves work, not results.
 
 Defined results: null and empty texts have no word and lose nothing; rows with a null id are not compared; rows with the same id
-are taken as one document; the order of lines is kept; an empty table gives no rows.
+and text are one document; rows with one id and different texts are documents of their own, in the order of the texts' hashes; the
+order of lines is kept; an empty table gives no rows. A long text is one of its task's slices, whose memory is about 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -26,67 +27,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, table
-from tidemark.llm.graph import components
-from tidemark.llm.packed import Vocabulary, count_words, mix, pack, pack_sorted, slices, unpack, unpack_sorted
+from tidemark.llm.common import discard, materialise, table
+from tidemark.llm.packed import Hasher, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
 
 PERCENT = 80
-MIN_WORDS = 4
-BLOCK_BYTES = 4 << 20
-BLOCK = 32_768
-#: Lists of up to this number of lines are compared at once, longer ones from one line to the next that is not yet joined.
-SHORT_LIST = 256
+#: Buckets of word hashes that rarity is counted in; parts that their sums are shuffled in.
+RARITY_BITS = 18
+_PARTS = 16
+#: One line of so many tells how long the lists will be; a list of more than LIST entries is dealt out to groups.
+SAMPLE = 1024
+LIST = 32_768
+#: Earlier lines that a list hands on for one line; the entries that a task gathers before it sends them; entries up to
+#: which lists are compared step by step.
+HANDED = 4
+SEND = 1_000_000
+SHORT_LIST = 512
 BROADCAST_DOCS = 500_000
 #: Removed lines' numbers (and 4 for each document) up to which they are broadcast, 4 bytes each; more are joined by shuffle.
 BROADCAST_NUMBERS = 8_000_000
-_BREAK = b"\xff"  # not in any UTF-8 text
+_KEY = ["doc_id", "tie"]
+_PACKED = "kind int, shard long, k binary, digest binary, map binary, size binary, place binary, doc binary, tie binary, line binary, asks binary"
+_FOUND = "doc_id long, tie long, line int, of_doc long, of_tie long, of_line int, more boolean"
 
 
 class Lines:
-    """The lines of texts: words as (line, word) codes without repeats, in the order of `rank`."""
-
-    def __init__(self, texts: list[bytes | None]):
-        vocabulary = Vocabulary()
-        end = vocabulary.ids[_BREAK]
-        docs = [vocabulary.encode((t or b"").replace(b"\n", b" \xff ") + b" \xff") for t in texts]
-        flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        breaks = flat == end
-        line = np.cumsum(breaks) - breaks
-        self.words = len(vocabulary.ids)
-        self.count = int(breaks.sum())
-        self.lines_of = np.array([int((d == end).sum()) for d in docs], np.int64)
-        self.doc = np.repeat(np.arange(len(docs)), self.lines_of)
-        starts = np.cumsum(self.lines_of) - self.lines_of
-        self.number = np.arange(self.count) - starts[self.doc] if self.count else np.zeros(0, np.int64)
-        self.hashes = vocabulary.hashes()
-        self.line, self.word = line[~breaks], flat[~breaks]
-
-    def sets(self, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (line, word) sorted by line and rank of the word; and each line's size."""
-        rank = np.arange(self.words) if rank is None else rank
-        code = np.unique(self.line * self.words + rank[self.word])
-        line, place = code // self.words, code % self.words
-        back = np.empty(self.words, np.int64)
-        back[rank] = np.arange(self.words)
-        return line, back[place], np.bincount(line, minlength=self.count)
-
-    def digests(self, line: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each line's set: the sum of its words' hashes."""
-        return _fold(np.add, line, mix(self.hashes, self.hashes >> np.uint64(7))[word], self.count)
-
-
-def _fold(how: np.ufunc, line: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Values of each line, which is sorted, folded (modulo 2**64)."""
-    out = np.zeros(n, np.uint64)
-    if len(line):
-        starts = np.flatnonzero(np.diff(line, prepend=-1))
-        out[line[starts]] = how.reduceat(values, starts)
-    return out
+    """The lines of texts: each line's distinct words in the order of rarity and hash."""
+
+    def __init__(self, hasher: Hasher, texts: list[bytes | None], rarity: np.ndarray):
+        data = b"\n".join(t or b"" for t in texts)
+        hashes, starts = hasher(data)
+        breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        ends = np.cumsum([len(t or b"") + 1 for t in texts])
+        self.count = len(breaks) + 1 if texts else 0
+        # the line a text begins with, and each line's text and number in it
+        first = np.searchsorted(breaks, np.concatenate([[0], ends[:-1]])) if texts else np.zeros(0, np.int64)
+        lines_of = np.diff(first, append=self.count)
+        self.doc = np.repeat(np.arange(len(texts)), lines_of)
+        self.number = np.arange(self.count) - np.repeat(first, lines_of)
+        line = np.repeat(np.arange(self.count), np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(starts))) if texts else np.zeros(0, np.int64)
+        self.line, self.word = _ordered(line, rarity[bucket(hashes)], hashes)
+        self.sizes = np.bincount(self.line, minlength=self.count)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.full = np.flatnonzero(self.sizes)
+
+    def fold(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
+        """Values of words, folded over each line (modulo 2**64)."""
+        out = np.zeros(self.count, np.uint64)
+        if len(values):
+            out[self.full] = how.reduceat(values, self.starts[self.full])
+        return out
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _ordered(line: np.ndarray, rarity: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (line, hash) in the order of line, rarity (below 256) and hash. line ascends."""
+    bits = max(1, int(line[-1]).bit_length()) if len(line) else 1
+    code = line.astype(np.uint64) << np.uint64(64 - bits) | rarity.astype(np.uint64) << np.uint64(56 - bits) | hashes >> np.uint64(bits + 8)
+    order = np.argsort(code)
+    code, word = code[order], hashes[order]
+    if ((code[1:] == code[:-1]) & (word[1:] != word[:-1])).any():  # the hashes' last bits decide
+        order = np.lexsort((hashes, rarity, line))
+        word = hashes[order]
+    line = line[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
+    return line[new], word[new]
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -94,152 +106,269 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _ask(shards: int):
-    """A block of texts -> (block, shard, k, n): its words and their counts."""
+def _prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many words of a set another must share one of; none of sets that match equal ones only."""
+    return np.where(100 * sizes >= percent * (sizes + 1), sizes - -(-percent * sizes // 100) + 1, 0)
 
-    def run(docs: pa.Table) -> pa.Table:
-        keys, counts = count_words(docs.column("text").to_pylist())
-        rows = [(s, pack_sorted(keys[at]), pack(counts[at])) for s, at in slices(keys, shards)]
-        return pa.table([pa.array([docs.column("block")[0].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "shard", "k", "n"])
 
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (part, n): words by bucket, and (line, words): the buckets of every SAMPLE-th line's distinct words."""
+    hasher, total = Hasher(), np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in portions(batches):
+        data = b"\n".join(t or b"" for t in batch.column("text").to_pylist())
+        hashes, starts = hasher(data)
+        total += np.bincount(bucket(hashes), minlength=len(total))
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(starts, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))]))
+        cuts = cuts[cuts < len(hashes)]
+        sums = np.add.reduceat(hashes, cuts) if len(cuts) else np.zeros(0, np.uint64)
+        chosen = np.flatnonzero(mix(sums, sums) % np.uint64(SAMPLE) == 0)
+        ends = np.append(cuts, len(hashes))
+        words = [pack(bucket(np.unique(hashes[ends[i] : ends[i + 1]])).astype(np.uint32)) for i in chosen.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(chosen), pa.int32()), pa.nulls(len(chosen), pa.binary()), pa.array(sums[chosen].view(np.int64)), pa.array(words, pa.binary())], names=["part", "n", "line", "words"])
+    parts = [pack(x) for x in total.reshape(_PARTS, -1)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary()), pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.binary())], names=["part", "n", "line", "words"])
 
 
-def _tell(rows: pa.Table) -> pa.Table:
-    keys = [unpack_sorted(x) for x in rows.column("k").to_pylist()]
-    _, of = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(of, np.concatenate([unpack(x, np.uint32) for x in rows.column("n").to_pylist()])).astype(np.uint64)[of]
-    ends = np.cumsum([len(x) for x in keys])
-    return pa.table([rows.column("block"), rows.column("shard"), pa.array([pack(totals[e - len(x) : e]) for x, e in zip(keys, ends)], pa.binary())], names=["block", "shard", "n"])
-
-
-def _post(shards: int, percent: int, min_words: int):
-    """A block's texts and its words' counts -> (shard, k, digest, map, size, place): prefix entries of its classes; and, in rows
-    of their own, each document's lines that are compared: (shard, doc_id, n_lines, lines, digests)."""
-
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        lines = Lines(docs.column("text").to_pylist())
-        used = np.flatnonzero(np.bincount(lines.word, minlength=lines.words))
-        total = np.zeros(lines.words, np.uint64)
-        if len(used):
-            told = told.sort_by("shard")
-            total[used[np.argsort(lines.hashes[used])]] = np.concatenate([unpack(x) for x in told.column("n").to_pylist()])
-        rank = np.empty(lines.words, np.int64)
-        rank[np.lexsort((lines.hashes, total))] = np.arange(lines.words)
-        line, word, sizes = lines.sets(rank)
-        digests = lines.digests(line, word)
-        bitmap = _fold(np.bitwise_xor, line, np.uint64(1) << (lines.hashes[word] >> np.uint64(58)), lines.count)
-        null = docs.column("doc_id").is_null().to_numpy()
-        compared = (sizes >= min_words) & ~null[lines.doc]
-        # one line of each class
-        first = np.zeros(lines.count, bool)
-        at = np.flatnonzero(compared)
-        first[at[np.unique(digests[at], return_index=True)[1]]] = True
-        first &= compared & (100 * sizes >= percent * (sizes + 1))  # smaller sets match equal ones only
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(line)) - starts[line]
-        prefix = sizes - -(-percent * sizes // 100) + 1
-        take = first[line] & (place < prefix[line]) & (total[word] > 1)  # a word that occurs once is in no other line
-        line, word, place = line[take], word[take], place[take]
-        order = np.argsort(lines.hashes[word], kind="stable")
-        line, place, keys = line[order], place[order], lines.hashes[word[order]]
-        rows = [(s, pack_sorted(keys[at]), pack(digests[line[at]]), pack(bitmap[line[at]]), pack(sizes[line[at]].astype(np.uint32)), pack(place[at].astype(np.uint32))) for s, at in slices(keys, shards)]
-        at = np.flatnonzero(compared)
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(lines.doc[at], minlength=len(null)))])
-        parts = lambda x, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x[at], kind))
-        listed = pa.table([pa.array(np.arange(len(null)) % shards), docs.column("doc_id").combine_chunks(), pa.array(lines.lines_of), parts(lines.number, pa.int32()), parts(digests.view(np.int64), pa.int64())], names=["shard", "doc_id", "n_lines", "lines", "digests"])
-        posted = pa.table([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6))], names=["shard", "k", "digest", "map", "size", "place"])
-        return pa.concat_tables([posted, listed], promote_options="default")
+def _add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((1 << RARITY_BITS) // _PARTS, np.int64)
+    for batch in batches:
+        for x in batch.column("n").to_pylist():
+            total += unpack(x, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())], names=["part", "n"])
 
-    return run
 
+def _heads(percent: int, rarity: np.ndarray):
+    """(words) of sampled lines -> (bucket): one row for each word of their prefixes."""
 
-def _join(percent: int):
-    """A shard's prefix entries -> (a, b): edges that join up all lines with an admissible pair; documents' rows pass."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        passed = rows.filter(pc.is_null(rows.column("k"))).select(["doc_id", "n_lines", "lines", "digests"])
-        rows = rows.filter(pc.is_valid(rows.column("k")))
-        if not rows.num_rows:
-            return _edge_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), passed)
-        key = np.concatenate([unpack_sorted(x) for x in rows.column("k").to_pylist()])
-        digest, bits = (np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("digest", "map"))
-        size, place = (np.concatenate([unpack(x, np.uint32) for x in rows.column(c).to_pylist()]).astype(np.int64) for c in ("size", "place"))
-        order = np.lexsort((digest, key))
-        key, digest = key[order], digest[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-        order, key, digest = order[new], key[new], digest[new]
-        bits, size, place = bits[order], size[order], place[order]
-        classes, node = np.unique(digest, return_inverse=True)
-
-        def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            least = needed(size[i], size[j], percent)
-            ok = np.minimum(size[i], size[j]) >= least
-            ok &= 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= least
-            return ok & (size[i] + size[j] - np.bitwise_count(bits[i] ^ bits[j]) >= 2 * least)
-
-        starts = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
-        lengths = np.diff([*starts, len(key)])
-        short = np.repeat(lengths <= SHORT_LIST, lengths)
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
-        at = np.flatnonzero(short)
-        for d in range(1, int(lengths[lengths <= SHORT_LIST].max(initial=1))):
-            at = at[at + d < len(key)]
-            at = at[key[at] == key[at + d]]
-            ok = at[fits(at, at + d)]
-            edges.append((node[ok], node[ok + d]))
-        for s, n in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist()):
-            edges += ((node[i], node[j]) for i, j in _long_list(np.arange(s, s + n), fits))
-        a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
-        label = np.arange(len(classes))
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            was = label.copy()
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if (label == was).all():
-                break
-        joined = np.flatnonzero(label != np.arange(len(classes)))
-        signed = classes.view(np.int64)
-        return _edge_rows(signed[joined], signed[label[joined]], passed)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, np.int64)]
+            for x in batch.column("words").to_pylist():
+                words = unpack(x, np.uint32).astype(np.int64)
+                take = int(_prefix(np.array([len(words)]), percent)[0])
+                out.append(words[np.lexsort((words, rarity[words]))][:take])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["bucket"])
 
     return run
 
 
-def _edge_rows(a: np.ndarray, b: np.ndarray, passed: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}), passed], promote_options="default").select(["a", "b", "doc_id", "n_lines", "lines", "digests"])
+def _rarity(rows: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket: a rank by the number of its words (8 for each doubling), and the groups its lists are dealt out to."""
+    counted = materialise(rows.select("text").mapInArrow(_count, "part int, n binary, line long, words binary"), "line-counts")
+    total = np.zeros((_PARTS, (1 << RARITY_BITS) // _PARTS), np.int64)
+    for part, n in counted.filter("part IS NOT NULL").select("part", "n").groupBy("part").applyInArrow(_add_up, "part int, n binary").collect():
+        total[part] = unpack(n, np.int64)
+    rarity = np.minimum(255, np.round(8 * np.log2(total.reshape(-1) + 1))).astype(np.uint8)
+    sample = counted.filter("part IS NULL").dropDuplicates(["line"]).select("words")
+    heads = sample.mapInArrow(_heads(percent, rarity), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+    groups = np.ones(1 << RARITY_BITS, np.uint32)
+    for at, n in heads.filter(F.col("n") * SAMPLE > 2 * LIST).collect():
+        groups[at] = -(-n * SAMPLE // LIST)
+    discard(counted)
+    return rarity, groups
+
+
+def _deal(keys: np.ndarray, digests: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of words -> (entry, key): an entry of a word with g groups goes to the g pairs of groups that have its own."""
+    many = groups[bucket(keys)].astype(np.int64)
+    entry = np.repeat(np.arange(len(keys)), many)
+    if len(entry) == len(keys):
+        return entry, keys
+    n = many[entry]
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+    own = (digests[entry] % n.astype(np.uint64)).astype(np.int64)
+    pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
+    return entry, np.where(n > 1, mix(keys[entry], pair), keys[entry])
+
+
+def _send(parts: list[tuple[np.ndarray, ...]], kind: int, shards: int) -> list[tuple]:
+    """Arrays of entries, whose first is the key that decides the shard -> packed rows, one a shard."""
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    order = np.argsort(columns[0])
+    columns = [x[order] for x in columns]
+    return [(kind, s, pack_sorted(columns[0][at]), *(pack(x[at]) for x in columns[1:])) for s, at in slices(columns[0], shards)]
+
+
+def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, again: bool):
+    """(doc_id, tie, text, asks) -> packed rows of two kinds: prefix entries of the classes (1), and all lines by digest (0).
+    again: no lines, and the entries say whether their line asks."""
+
+    def rows(sent: list[tuple], names: list[str]) -> pa.RecordBatch:
+        schema = {"kind": pa.int32(), "shard": pa.int64()} | dict.fromkeys(("k", "digest", "map", "size", "place", "doc", "tie", "line", "asks"), pa.binary())
+        at = {name: i for i, name in enumerate(["kind", "shard", "k", *names])}
+        return pa.RecordBatch.from_arrays([pa.array([r[at[c]] for r in sent], t) if c in at else pa.nulls(len(sent), t) for c, t in schema.items()], names=list(schema))
+
+    def flush(entries: list, every: list) -> Iterator[pa.RecordBatch]:
+        if entries:
+            yield rows(_send(entries, 1, shards), ["digest", "map", "size", "place", "doc", "tie", "line", "asks"])
+        if every:
+            yield rows(_send(every, 0, shards), ["digest", "doc", "tie", "line"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, entries, every, held = Hasher(), [], [], 0
+        for batch in portions(batches):
+            lines = Lines(hasher, batch.column("text").to_pylist(), rarity)
+            doc, tie = (batch.column(c).to_numpy(zero_copy_only=False)[lines.doc] for c in ("doc_id", "tie"))
+            number = lines.number.astype(np.int32)
+            stirred = mix(lines.word, lines.word)
+            digest = lines.fold(np.add, stirred)
+            bitmap = lines.fold(np.bitwise_xor, np.uint64(1) << (stirred >> np.uint64(58)))
+            at = lines.full
+            if not again:
+                second = lines.fold(np.add, mix(stirred, lines.word))
+                every.append((digest[at], second[at], doc[at], tie[at], number[at]))
+            # the first line of each class
+            order = at[np.lexsort((number[at], tie[at], doc[at], digest[at]))]
+            new = np.ones(len(order), bool)
+            new[1:] = digest[order[1:]] != digest[order[:-1]]
+            prefix = np.zeros(lines.count, np.int64)
+            prefix[order[new]] = _prefix(lines.sizes[order[new]], percent)
+            place = np.arange(len(lines.line)) - lines.starts[lines.line]
+            take = np.flatnonzero(place < prefix[lines.line])
+            asks = np.ones(lines.count, np.uint8)
+            if again:
+                asks[:] = 0
+                start = np.searchsorted(lines.doc, np.arange(batch.num_rows))
+                for i, wanted in enumerate(batch.column("asks").to_pylist()):
+                    if wanted:
+                        asks[start[i] + np.array(wanted)] = 1
+            entry, keys = _deal(lines.word[take], digest[lines.line[take]], groups)
+            of, place = lines.line[take][entry], place[take][entry]
+            entries.append((keys, digest[of], bitmap[of], lines.sizes[of].astype(np.uint32), place.astype(np.uint32), doc[of], tie[of], number[of], asks[of]))
+            held += len(keys) + len(at)
+            if held >= SEND:
+                yield from flush(entries, every)
+                entries, every, held = [], [], 0
+        yield from flush(entries, every)
+
+    return run
 
-def _long_list(left: np.ndarray, fits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Admissible pairs of a long list, enough to join up what they join up. Components that are large for the list are grown
-    from one line, each line against those that are not yet in one; what such seeds leave is compared pair by pair."""
-    small, rows = 0, max(1, min(64, 4_000_000 // max(1, len(left))))
-    while len(left) and small < 4:
-        front, left, size = left[:1], left[1:], 1
-        while len(front) and len(left):
-            ok = fits(front[:rows, None], left[None, :])
-            near = ok.any(axis=0)
-            yield front[:rows][ok.argmax(axis=0)[near]], left[near]
-            front, left, size = np.concatenate([front[rows:], left[near]]), left[~near], size + int(near.sum())
-        small = small + 1 if size < 0.05 * (size + len(left)) else 0
-    for at in range(0, len(left), rows):
-        i, j = np.nonzero(fits(left[at : at + rows, None], left[None, at:]))
-        yield left[at + i], left[at + j]
+
+def _found(later: tuple, earlier: tuple | None, more: np.ndarray | None) -> pa.Table:
+    n = len(later[0])
+    of = [pa.array(x) for x in earlier] if earlier else [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+    return pa.table([*(pa.array(x) for x in later), *of, pa.array(more) if more is not None else pa.nulls(n, pa.bool_())], names=["doc_id", "tie", "line", "of_doc", "of_tie", "of_line", "more"])
+
+
+def _repeats(rows: pa.Table) -> pa.Table:
+    """A shard's lines by digest -> those that are not the first of their class."""
+    digest = np.concatenate([unpack_sorted(x) for x in rows.column("k").to_pylist()])
+    second, doc, tie = (np.concatenate([unpack(x, t) for x in rows.column(c).to_pylist()]) for c, t in (("digest", np.uint64), ("doc", np.int64), ("tie", np.int64)))
+    line = np.concatenate([unpack(x, np.int32) for x in rows.column("line").to_pylist()])
+    order = np.lexsort((line, tie, doc, second, digest))
+    digest, second, doc, tie, line = (x[order] for x in (digest, second, doc, tie, line))
+    new = np.ones(len(digest), bool)
+    new[1:] = (digest[1:] != digest[:-1]) | (second[1:] != second[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    gone = (doc != doc[first]) | (tie != tie[first]) | (line != line[first])
+    return _found((doc[gone], tie[gone], line[gone]), None, None)
+
+
+class _Entries:
+    """A shard's prefix entries, one for each word and class, sorted by word and size."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        read = lambda c, t: np.concatenate([unpack(x, t) for x in rows.column(c).to_pylist()])
+        key, digest, bits = np.concatenate([unpack_sorted(x) for x in rows.column("k").to_pylist()]), read("digest", np.uint64), read("map", np.uint64)
+        size, place, doc, tie, line, asks = read("size", np.uint32), read("place", np.uint32), read("doc", np.int64), read("tie", np.int64), read("line", np.int32), read("asks", np.uint8)
+        order = np.lexsort((line, tie, doc, bits, digest, size, key))
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for x in (key, digest, bits, size):
+            x = x[order]
+            new[1:] |= x[1:] != x[:-1]
+        if not asks.all():  # lists that nobody asks are not compared
+            of = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+            asked = np.bincount(of, asks[order].astype(np.int64)) > 0
+            group = np.cumsum(new) - 1
+            asks_of = np.bincount(group, asks[order].astype(np.int64)) > 0
+            asks = np.empty(len(order), bool)
+            asks[order] = asks_of[group]
+            new &= asked[of]
+        order = order[new]
+        self.key, self.digest, self.bits, self.asks = key[order], digest[order], bits[order], asks[order].astype(bool)
+        self.size, self.place = size[order].astype(np.int64), place[order].astype(np.int64)
+        self.doc, self.tie, self.line = doc[order], tie[order], line[order]
+        # the order of documents and lines, as one number
+        by = np.lexsort((self.line, self.tie, self.doc))
+        self.when = np.empty(len(order), np.int64)
+        self.when[by] = np.cumsum((np.diff(self.doc[by], prepend=0) != 0) | (np.diff(self.tie[by], prepend=0) != 0) | (np.diff(self.line[by], prepend=-1) != 0))
+        self.percent = percent
+
+    def admits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether entries i and j of a word, of which j is not the shorter, may be of a match, and one of them asks for it."""
+        a, b = self.size[i], self.size[j]
+        least = needed(a, b, self.percent)
+        ok = (a >= least) & (np.minimum(a - self.place[i], b - self.place[j]) >= least)
+        ok &= a + b - np.bitwise_count(self.bits[i] ^ self.bits[j]) >= 2 * least
+        return ok & np.where(self.when[i] < self.when[j], self.asks[j], self.asks[i]) & (self.when[i] != self.when[j])
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]])) if len(self.key) else np.zeros(0, np.int64)
+        return starts, np.diff([*starts, len(self.key)])
+
+    def pairs(self, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Admissible (later, earlier) entries; a portion has a later one once. most: as many for a later one are enough."""
+        starts, lengths = self.lists()
+        at = np.flatnonzero(np.repeat(lengths <= SHORT_LIST, lengths))
+        last = np.repeat(starts + lengths, lengths)
+        far = 0
+        while len(at):
+            far += 1
+            at = at[at + far < last[at]]
+            at = at[100 * self.size[at] >= self.percent * self.size[at + far]]  # sizes ascend: all that follow are longer still
+            ok = at[self.admits(at, at + far)]
+            turn = self.when[ok] < self.when[ok + far]
+            yield (ok + far)[turn], ok[turn]
+            yield ok[~turn], (ok + far)[~turn]
+        for start, length in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist()):
+            for i in range(start, start + length):
+                j = np.arange(i + 1, i + 1 + int(np.searchsorted(self.size[i + 1 : start + length], 100 * self.size[i] // self.percent, side="right")))
+                j = j[self.admits(np.full(len(j), i), j)]
+                before = self.when[j] < self.when[i]
+                yield j[~before], np.full(len(j) - int(before.sum()), i)
+                for x in j[before][:most].tolist():
+                    yield np.array([i]), np.array([x])
+
+
+def _join(percent: int, again: bool):
+    """A shard's rows -> lines that repeat one of their class, without a partner; or lines with an earlier line that they may match.
+    Of each list a line has at most HANDED partners, and `more` tells that there are others; again: all of them."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        if key[0].as_py() == 0:
+            return _repeats(rows)
+        x = _Entries(rows, percent)
+        count, later, earlier = np.zeros(len(x.key), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in x.pairs(None if again else HANDED + 1):
+            if not again:
+                count[a] += 1
+                keep = count[a] <= HANDED
+                a, b = a[keep], b[keep]
+            if len(a):
+                later.append(a)
+                earlier.append(b)
+        a, b = np.concatenate(later), np.concatenate(earlier)
+        more = count[a] > HANDED
+        _, once = np.unique(x.when[a] * (len(x.key) + 1) + x.when[b], return_index=True)
+        flagged = np.zeros(len(x.key) + 1, bool)
+        flagged[x.when[a[more]]] = True
+        a, b = a[once], b[once]
+        return _found((x.doc[a], x.tie[a], x.line[a]), (x.doc[b], x.tie[b], x.line[b]), flagged[x.when[a]])
+
+    return run
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted lines) -> (doc_id, line, keys): their sets."""
-    for batch in batches:
+    """(doc_id, tie, text, wanted lines) -> (doc_id, tie, line, keys): their sets."""
+    for batch in portions(batches):
         out = []
-        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+        for doc, tie, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text", "wanted"))):
             lines = (text or b"").split(b"\n")
             for k in wanted:
-                if k < len(lines):
-                    words = set(lines[k].lower().split())
-                    out.append((doc, k, pack_sorted(np.sort(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "line", "keys"])
+                words = set(lines[k].lower().split())
+                out.append((doc, tie, k, pack_sorted(np.sort(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))))
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "tie", "line", "keys"])
 
 
 def match(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -251,109 +380,101 @@ def match(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verify(percent: int):
-    """(digest, keys, first_keys) -> (digest) of the lines that match their cluster's first."""
+    """(doc_id, tie, line, keys, of_keys) -> (doc_id, tie, line) of the lines that match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [i for i, (x, y) in enumerate(zip(batch.column("keys").to_pylist(), batch.column("first_keys").to_pylist())) if match(unpack_sorted(x), unpack_sorted(y), percent)]
-            yield batch.select(["digest"]).take(pa.array(ok, pa.int64()))
+            ok = [i for i, (x, y) in enumerate(zip(batch.column("keys").to_pylist(), batch.column("of_keys").to_pylist())) if match(unpack_sorted(x), unpack_sorted(y), percent)]
+            yield batch.select([*_KEY, "line"]).take(pa.array(ok, pa.int64()))
 
     return run
 
 
-def _rest(percent: int):
-    """A block of lines that are left against a block of lines of their cluster -> (digest) of those that match one before."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        ask = rows.column("ask").to_numpy(zero_copy_only=False).astype(bool)
-        sets = [unpack_sorted(x) for x in rows.column("keys").to_pylist()]
-        where = np.stack([rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()], axis=1)
-        digest, sizes = rows.column("digest").to_numpy(), np.array([len(x) for x in sets])
-        members = np.flatnonzero(~ask)
-        entry = np.repeat(members, sizes[members])
-        keys = np.concatenate([sets[i] for i in members]) if len(members) else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, entry = keys[order], entry[order]
-        found = []
-        for q in np.flatnonzero(ask).tolist():
-            lo, hi = np.searchsorted(keys, sets[q]), np.searchsorted(keys, sets[q], side="right")
-            hits = [entry[x:y] for x, y in zip(lo.tolist(), hi.tolist()) if y > x]
-            same = np.bincount(np.concatenate(hits), minlength=len(sets)) if hits else np.zeros(len(sets), np.int64)
-            before = (where[:, 0] < where[q, 0]) | ((where[:, 0] == where[q, 0]) & (where[:, 1] < where[q, 1]))
-            if (before & ~ask & (100 * same >= percent * (sizes + sizes[q] - same))).any():
-                found.append(int(digest[q]))
-        return pa.table({"digest": pa.array(found, pa.int64())})
+def _matched(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, tie, line of the lines of pairs that match a partner, on the words themselves."""
+    place = [*_KEY, "line"]
+    partners = pairs.select(F.col("of_doc").alias("doc_id"), F.col("of_tie").alias("tie"), F.col("of_line").alias("line"))
+    wanted = pairs.select(*place).union(partners).groupBy(*_KEY).agg(F.collect_set("line").alias("wanted"))
+    wanted = materialise(wanted, "line-wanted")
+    ids = F.broadcast(wanted) if wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else wanted
+    sets = rows.join(ids, on=_KEY).select(*_KEY, "text", "wanted")
+    sets = materialise(sets.mapInArrow(_wanted, "doc_id long, tie long, line int, keys binary"), "line-sets", release=True)
+    once = sets.dropDuplicates(place)  # repeated rows
+    other = once.select(F.col("doc_id").alias("of_doc"), F.col("tie").alias("of_tie"), F.col("line").alias("of_line"), F.col("keys").alias("of_keys"))
+    both = pairs.select(*place, "of_doc", "of_tie", "of_line").distinct().join(once, on=place).join(other, on=["of_doc", "of_tie", "of_line"])
+    out = materialise(both.select(*place, "keys", "of_keys").mapInArrow(_verify(percent), "doc_id long, tie long, line int").distinct(), "line-matched")
+    discard(wanted)
+    discard(sets)
+    return out
 
-    return run
 
+def _tie(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Tells rows apart that have one id and different texts; 0 where no id repeats."""
+    repeated = docs.select(F.col(id_col).cast("bigint").alias("i")).filter("i IS NOT NULL").groupBy("i").count().filter("count > 1").limit(1).count()
+    return (F.xxhash64(text_col) if repeated else F.lit(0)).cast("bigint")
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, removed: of each row, the numbers (from 0, ascending) of the lines that go; lines of fewer than min_words (at least 1)
-    distinct words stay."""
-    if min_words < 1:
-        raise ValueError("min_words must be at least 1")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    shards = max(8, blocks)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    told = dealt.groupBy("block").applyInArrow(_ask(shards), "block long, shard long, k binary, n binary").groupBy("shard").applyInArrow(_tell, "block long, shard long, n binary")
-    lists = "doc_id long, n_lines long, lines array<int>, digests array<long>"
-    posted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_post(shards, percent, min_words), f"shard long, k binary, digest binary, map binary, size binary, place binary, {lists}")
-    joined = materialise(posted.groupBy("shard").applyInArrow(_join(percent), f"a long, b long, {lists}"), "line-edges", release=True)
-    listed = joined.filter("a IS NULL").select("doc_id", "n_lines", "lines", "digests")
-    each = listed.filter("doc_id IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("lines", "digests")).alias("x")).select("doc_id", F.col("x.lines").alias("line"), F.col("x.digests").alias("digest"))
-    classes = each.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"))
-    clusters = components(joined.filter("a IS NOT NULL").select("a", "b"), "line-clusters").select(F.col("node").alias("digest"), F.col("label").alias("cluster"))
-
-    members = materialise(clusters.join(classes.select("digest", "first.doc_id", "first.line"), on="digest"), "line-members")
-    wanted = members.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
-    wanted = F.broadcast(wanted) if members.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else wanted
-    sets = rows.join(wanted, on="doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted, "doc_id long, line int, keys binary")
-    members = materialise(members.join(sets, on=["doc_id", "line"]).dropDuplicates(["digest"]), "line-sets")
-
-    hubs = members.groupBy("cluster").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.count("*").alias("n"))
-    hubs = hubs.select("cluster", "n", "x.doc_id", "x.line")
-    first = members.join(hubs.select("doc_id", "line"), on=["doc_id", "line"]).select("cluster", F.col("digest").alias("hub"), F.col("keys").alias("first_keys"))
-    pairs = members.join(first, on="cluster").filter("digest <> hub").select("digest", "keys", "first_keys")
-    gone = materialise(pairs.mapInArrow(_verify(percent), "digest long"), "line-gone")
-
-    left = members.join(gone, on="digest", how="left_anti").join(hubs.select("doc_id", "line"), on=["doc_id", "line"], how="left_anti")
-    left = materialise(left.select("digest", "cluster", "doc_id", "line"), "line-left")
-    asks = left.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
-    open_ = asks.join(hubs, on="cluster").select("cluster", "asks", F.ceil(F.col("n") / BLOCK).cast("int").alias("of"))
-    place = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    against = members.select("digest", "cluster").join(open_, on="cluster").select("digest", "cluster", F.lit(False).alias("ask"), place(F.col("of")).alias("of"), every(F.col("asks")).alias("asks"))
-    asking = left.select("digest", "cluster").join(open_, on="cluster").select("digest", "cluster", F.lit(True).alias("ask"), every(F.col("of")).alias("of"), place(F.col("asks")).alias("asks"))
-    grid = against.unionByName(asking).join(members.drop("cluster"), on="digest")
-    more = grid.groupBy("cluster", "of", "asks").applyInArrow(_rest(percent), "digest long")
-    gone = materialise(gone.unionByName(more).distinct(), "line-all-gone").withColumn("gone", F.lit(True))
-
-    repeated = classes.join(gone, on="digest", how="left").filter("gone OR first <> last").select("digest", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = each.join(repeated, on="digest").filter(F.col("gone") | (F.struct("doc_id", "line") != F.col("first")))
-    out = out.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_lines, removed: of each row, the numbers (from 0, ascending) of the lines that go."""
+    tie = _tie(docs, id_col, text_col)
+    gone = _gone(docs, tie, id_col, text_col, percent)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tie.alias("tie"), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"))
     none = F.array().cast("array<int>")
-    return listed.select("doc_id", "n_lines").join(out, on="doc_id", how="left").select("doc_id", "n_lines", F.coalesce("removed", none).alias("removed"))
+    return rows.join(gone, on=_KEY, how="left").select("doc_id", "n_lines", F.coalesce("removed", none).alias("removed"))
+
+
+def _gone(docs: DataFrame, tie: Column, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """doc_id, tie, removed of the documents that lose lines."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tie.alias("tie"), F.col(text_col).cast("binary").alias("text")).filter("doc_id IS NOT NULL")
+    rarity, groups = _rarity(rows, percent)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # 16 MB of text to a shard, and 1 GB where there is so much that packed rows would hold few entries
+    shards = max(8, min(size >> 24, 4096 + (size >> 30)))
+
+    def candidates(rows: DataFrame, again: bool) -> DataFrame:
+        posted = rows.mapInArrow(_post(shards, percent, rarity, groups, again), _PACKED)
+        return materialise(posted.groupBy("kind", "shard").applyInArrow(_join(percent, again), _FOUND), "line-pairs", release=True)
+
+    place = [*_KEY, "line"]
+    found = candidates(rows.withColumn("asks", F.lit(None).cast("array<int>")), False)
+    pairs = found.filter("of_doc IS NOT NULL")
+    matched = _matched(rows, pairs, percent)
+    gone = found.filter("of_doc IS NULL").select(*place).union(matched)
+    open_ = materialise(pairs.filter("more").select(*place).distinct().join(matched, on=place, how="left_anti"), "line-open")
+    if open_.limit(1).count():
+        asks = open_.groupBy(*_KEY).agg(F.collect_set("line").alias("asks"))
+        asks = F.broadcast(asks) if open_.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else asks
+        gone = gone.union(_matched(rows, candidates(rows.join(asks, on=_KEY, how="left"), True), percent))
+    out = materialise(gone.groupBy(*_KEY).agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-gone", release=True)
+    for x in (found, matched, open_):
+        discard(x)
+    return out
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the lines that match a line before them; documents of which no word is left go as a whole."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent, min_words=1).filter("size(removed) > 0")
-    gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")).dropDuplicates(["_id"]), "line-removed", release=True)
-    if (gone.agg(F.sum(F.size("_removed") + 4)).first()[0] or 0) <= BROADCAST_NUMBERS:
+    tie = _tie(docs, id_col, text_col)
+    gone = _gone(docs, tie, id_col, text_col, percent)
+    if (gone.agg(F.sum(F.size("removed") + 4)).first()[0] or 0) <= BROADCAST_NUMBERS:
         gone = F.broadcast(gone)
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    out = docs.join(gone, on=docs[id_col] == gone["_id"], how="left")
-    out = out.withColumn(text_col, F.when(F.col("_id").isNull(), F.col(text_col)).otherwise(kept))
-    return out.filter(F.col("_id").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("doc_id"), tie.alias("tie"), docs[text_col].alias("text"))
+    out = rows.join(gone, on=_KEY, how="left")
+    # the lines between two that go, for each that goes and the end; in lambdas, so that the text is split once
+    split = F.array(F.struct(F.split("text", "\n", -1).alias("lines"), F.concat(F.array(F.lit(-1)), "removed").alias("cuts")))
+    kept = lambda x: F.array_join(
+        F.flatten(F.transform(x["cuts"], lambda cut, i: F.slice(x["lines"], cut + 2, F.coalesce(F.try_element_at(x["cuts"], i + 2), F.size(x["lines"])) - cut - 1))), "\n"
+    )
+    left = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.element_at(F.transform(split, kept), 1))
+    out = out.select("row", "removed", left.alias("left")).filter(F.col("removed").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("left").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS l FROM documents),
 l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM d),
 s AS (SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM l),
-c AS (SELECT row_number() OVER (ORDER BY min((doc_id, k))) AS c, words, len(words) AS n, min((doc_id, k)) AS first FROM s WHERE len(words) >= 4 GROUP BY words),
+c AS (SELECT row_number() OVER (ORDER BY min((doc_id, k))) AS c, words, len(words) AS n, min((doc_id, k)) AS first FROM s WHERE len(words) > 0 GROUP BY words),
 t AS (SELECT c, n, unnest(words) AS word FROM c),
 g AS (SELECT DISTINCT c FROM (SELECT y.c, x.n + y.n AS both, count(*) AS same FROM t x JOIN t y ON x.word = y.word AND x.c < y.c AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY y.c, x.c, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*)))),
 o AS (SELECT doc_id, list(k ORDER BY k) AS gone FROM s JOIN c USING (words) WHERE (doc_id, k) <> first OR c IN (FROM g) GROUP BY doc_id)

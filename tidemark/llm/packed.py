@@ -59,6 +59,72 @@ def count_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.fromiter(counts.values(), np.int64, len(counts))[order].astype(np.uint32)
 
 
+#: Bytes that Hasher takes at once; a word of as many or more is hashed alone.
+CHUNK = 1 << 16
+#: An odd base of the words' polynomials.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, done, step = np.ones(n, np.uint64), 1, base
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(step)
+        done, step = done + more, step * step % (1 << 64)
+    return out
+
+
+class Hasher:
+    """64-bit hashes of the words between ASCII white space, with A-Z lowered, all words of a chunk at once.
+
+    A word's hash is the polynomial of its bytes at an odd base modulo 2**64, stirred. Prefix sums of byte x power give every
+    word's polynomial as a difference, which the inverse power of its start brings to the same scale.
+    """
+
+    def __init__(self):
+        self.up, self.down = _powers(_BASE, CHUNK), _powers(pow(_BASE, -1, 1 << 64), CHUNK)
+
+    def _chunk(self, data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word = np.zeros(len(data) + 2, bool)
+        np.logical_not(blank, out=word[1:-1])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        value = (data | (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))).astype(np.uint64)
+        value += np.uint64(1)
+        value *= self.up[: len(data)]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.down[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32)), starts
+
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes, and where in data they start."""
+        whole, at, hashes, starts = np.frombuffer(data, np.uint8), 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        while at < len(whole):
+            part = whole[at : at + CHUNK]
+            blank = (part == 32) | ((part - np.uint8(9)) < 5)
+            if len(part) == CHUNK:
+                back = int(blank[::-1].argmax())
+                if not blank[len(part) - 1 - back]:
+                    end = at + CHUNK
+                    while end < len(data) and data[end] not in _SPACE:
+                        end += 1
+                    hashes.append(np.array([xxhash.xxh64_intdigest(data[at:end].lower())], np.uint64))
+                    starts.append(np.array([at]))
+                    at = end
+                    continue
+                part, blank = part[: len(part) - back], blank[: len(part) - back]
+            h, s = self._chunk(part, blank)
+            hashes.append(h)
+            starts.append(s + at)
+            at += len(part)
+        return np.concatenate(hashes), np.concatenate(starts)
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two 64-bit hashes, in order."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29)))
