@@ -41,11 +41,16 @@ _PARTS = 16
 #: One line of so many tells how long the lists will be; a list of more than LIST entries is dealt out to groups.
 SAMPLE = 1024
 LIST = 32_768
-#: Earlier lines that a list hands on for one line; the entries that a task gathers before it sends them; entries up to
-#: which lists are compared step by step.
-HANDED = 4
+#: A partner less than so far away, of 15 parts of what a match may be, is verified first; of those farther away, a list hands on so
+#: many for one line.
+NEAR = 8
+HANDED = 8
+#: The entries that a task gathers before it sends them; entries up to which lists are compared step by step.
 SEND = 1_000_000
 SHORT_LIST = 512
+#: Bits of word hashes that tell which lists a second join needs, and how many such words may be told (4 bytes each); beyond, all lists are joined.
+HEARD_BITS = 24
+HEARD = 1_000_000
 BROADCAST_DOCS = 500_000
 #: Removed lines' numbers (and 4 for each document) up to which they are broadcast, 4 bytes each; more are joined by shuffle.
 BROADCAST_NUMBERS = 8_000_000
@@ -55,9 +60,9 @@ _FOUND = "doc_id long, tie long, line int, of_doc long, of_tie long, of_line int
 
 
 class Lines:
-    """The lines of texts: each line's distinct words in the order of rarity and hash."""
+    """The lines of texts: each line's distinct words in the order of rarity and hash; of lines that have no word heard, none."""
 
-    def __init__(self, hasher: Hasher, texts: list[bytes | None], rarity: np.ndarray):
+    def __init__(self, hasher: Hasher, texts: list[bytes | None], rarity: np.ndarray, heard: np.ndarray | None = None):
         data = b"\n".join(t or b"" for t in texts)
         hashes, starts = hasher(data)
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
@@ -69,6 +74,9 @@ class Lines:
         self.doc = np.repeat(np.arange(len(texts)), lines_of)
         self.number = np.arange(self.count) - np.repeat(first, lines_of)
         line = np.repeat(np.arange(self.count), np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(starts))) if texts else np.zeros(0, np.int64)
+        if heard is not None:
+            some = np.bincount(line, heard[hashes >> np.uint64(64 - HEARD_BITS)], self.count)[line] > 0
+            line, hashes = line[some], hashes[some]
         self.line, self.word = _ordered(line, rarity[bucket(hashes)], hashes)
         self.sizes = np.bincount(self.line, minlength=self.count)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -186,12 +194,49 @@ def _send(parts: list[tuple[np.ndarray, ...]], kind: int, shards: int) -> list[t
     columns = [np.concatenate(x) for x in zip(*parts)]
     order = np.argsort(columns[0])
     columns = [x[order] for x in columns]
-    return [(kind, s, pack_sorted(columns[0][at]), *(pack(x[at]) for x in columns[1:])) for s, at in slices(columns[0], shards)]
+    as_bytes = lambda x: x.tobytes() if x.dtype == np.uint64 else pack(x)  # noqa: E731  hashes have no planes that are alike
+    return [(kind, s, pack_sorted(columns[0][at]), *(as_bytes(x[at]) for x in columns[1:])) for s, at in slices(columns[0], shards)]
 
 
-def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, again: bool):
+def _received(rows: pa.Table, column: str, dtype=np.uint64) -> np.ndarray:
+    read = unpack_sorted if column == "k" else np.frombuffer if dtype == np.uint64 else unpack
+    return np.concatenate([read(x) if column == "k" else read(x, dtype) for x in rows.column(column).to_pylist()])
+
+
+def _prefixes(lines: Lines, of: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the lines in `of`: which words are in their prefixes, and every word's place in its line."""
+    prefix = np.zeros(lines.count, np.int64)
+    prefix[of] = _prefix(lines.sizes[of], percent)
+    place = np.arange(len(lines.line)) - lines.starts[lines.line]
+    return np.flatnonzero(place < prefix[lines.line]), place
+
+
+def _asking(lines: Lines, wanted: list[list[int] | None]) -> np.ndarray:
+    out = np.zeros(lines.count, np.uint8)
+    start = np.searchsorted(lines.doc, np.arange(len(wanted)))
+    for i, numbers in enumerate(wanted):
+        if numbers:
+            out[start[i] + np.array(numbers)] = 1
+    return out
+
+
+def _hear(percent: int, rarity: np.ndarray):
+    """(text, asks) -> (word): the first bits of the words in the prefixes of lines that ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in portions(batches):
+            lines = Lines(hasher, batch.column("text").to_pylist(), rarity)
+            take, _ = _prefixes(lines, np.flatnonzero(_asking(lines, batch.column("asks").to_pylist())), percent)
+            words = np.unique(lines.word[take] >> np.uint64(64 - HEARD_BITS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(words)], names=["word"])
+
+    return run
+
+
+def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, again: bool, words: np.ndarray | None = None):
     """(doc_id, tie, text, asks) -> packed rows of two kinds: prefix entries of the classes (1), and all lines by digest (0).
-    again: no lines, and the entries say whether their line asks."""
+    again: no lines, and entries that say whether their line asks, of `words` (or all)."""
 
     def rows(sent: list[tuple], names: list[str]) -> pa.RecordBatch:
         schema = {"kind": pa.int32(), "shard": pa.int64()} | dict.fromkeys(("k", "digest", "map", "size", "place", "doc", "tie", "line", "asks"), pa.binary())
@@ -206,8 +251,11 @@ def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, aga
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, entries, every, held = Hasher(), [], [], 0
+        heard = None if words is None else np.zeros(1 << HEARD_BITS, bool)
+        if heard is not None:
+            heard[words] = True
         for batch in portions(batches):
-            lines = Lines(hasher, batch.column("text").to_pylist(), rarity)
+            lines = Lines(hasher, batch.column("text").to_pylist(), rarity, heard)
             doc, tie = (batch.column(c).to_numpy(zero_copy_only=False)[lines.doc] for c in ("doc_id", "tie"))
             number = lines.number.astype(np.int32)
             stirred = mix(lines.word, lines.word)
@@ -221,17 +269,10 @@ def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, aga
             order = at[np.lexsort((number[at], tie[at], doc[at], digest[at]))]
             new = np.ones(len(order), bool)
             new[1:] = digest[order[1:]] != digest[order[:-1]]
-            prefix = np.zeros(lines.count, np.int64)
-            prefix[order[new]] = _prefix(lines.sizes[order[new]], percent)
-            place = np.arange(len(lines.line)) - lines.starts[lines.line]
-            take = np.flatnonzero(place < prefix[lines.line])
-            asks = np.ones(lines.count, np.uint8)
-            if again:
-                asks[:] = 0
-                start = np.searchsorted(lines.doc, np.arange(batch.num_rows))
-                for i, wanted in enumerate(batch.column("asks").to_pylist()):
-                    if wanted:
-                        asks[start[i] + np.array(wanted)] = 1
+            take, place = _prefixes(lines, order[new], percent)
+            if heard is not None:
+                take = take[heard[lines.word[take] >> np.uint64(64 - HEARD_BITS)]]
+            asks = _asking(lines, batch.column("asks").to_pylist()) if again else np.ones(lines.count, np.uint8)
             entry, keys = _deal(lines.word[take], digest[lines.line[take]], groups)
             of, place = lines.line[take][entry], place[take][entry]
             entries.append((keys, digest[of], bitmap[of], lines.sizes[of].astype(np.uint32), place.astype(np.uint32), doc[of], tie[of], number[of], asks[of]))
@@ -252,9 +293,8 @@ def _found(later: tuple, earlier: tuple | None, more: np.ndarray | None) -> pa.T
 
 def _repeats(rows: pa.Table) -> pa.Table:
     """A shard's lines by digest -> those that are not the first of their class."""
-    digest = np.concatenate([unpack_sorted(x) for x in rows.column("k").to_pylist()])
-    second, doc, tie = (np.concatenate([unpack(x, t) for x in rows.column(c).to_pylist()]) for c, t in (("digest", np.uint64), ("doc", np.int64), ("tie", np.int64)))
-    line = np.concatenate([unpack(x, np.int32) for x in rows.column("line").to_pylist()])
+    digest, second = _received(rows, "k"), _received(rows, "digest")
+    doc, tie, line = _received(rows, "doc", np.int64), _received(rows, "tie", np.int64), _received(rows, "line", np.int32)
     order = np.lexsort((line, tie, doc, second, digest))
     digest, second, doc, tie, line = (x[order] for x in (digest, second, doc, tie, line))
     new = np.ones(len(digest), bool)
@@ -264,97 +304,129 @@ def _repeats(rows: pa.Table) -> pa.Table:
     return _found((doc[gone], tie[gone], line[gone]), None, None)
 
 
+def _when(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order of documents and lines, as one number for each place."""
+    if len(doc) and not tie.any() and 0 <= doc.min() and int(doc.max() + 1) * int(line.max() + 1) < 1 << 62:
+        return doc * int(line.max() + 1) + line
+    by = np.lexsort((line, tie, doc))
+    out = np.zeros(len(doc), np.int64)
+    out[by[1:]] = np.cumsum((doc[by[1:]] != doc[by[:-1]]) | (tie[by[1:]] != tie[by[:-1]]) | (line[by[1:]] != line[by[:-1]]))
+    return out
+
+
 class _Entries:
     """A shard's prefix entries, one for each word and class, sorted by word and size."""
 
     def __init__(self, rows: pa.Table, percent: int):
-        read = lambda c, t: np.concatenate([unpack(x, t) for x in rows.column(c).to_pylist()])
-        key, digest, bits = np.concatenate([unpack_sorted(x) for x in rows.column("k").to_pylist()]), read("digest", np.uint64), read("map", np.uint64)
-        size, place, doc, tie, line, asks = read("size", np.uint32), read("place", np.uint32), read("doc", np.int64), read("tie", np.int64), read("line", np.int32), read("asks", np.uint8)
-        order = np.lexsort((line, tie, doc, bits, digest, size, key))
+        key, digest, bits = _received(rows, "k"), _received(rows, "digest"), _received(rows, "map")
+        size, place, asks = _received(rows, "size", np.uint32), _received(rows, "place", np.uint32), _received(rows, "asks", np.uint8)
+        doc, tie, line = _received(rows, "doc", np.int64), _received(rows, "tie", np.int64), _received(rows, "line", np.int32)
+        every = _when(doc, tie, line)
+        order = np.argsort(key)
+        of = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0).astype(np.uint64)
+        # word, size and a part of the digest in one number; classes that this part doesn't tell apart stand as they may
+        order = order[np.argsort(of << np.uint64(36) | np.minimum(size, 65_535)[order].astype(np.uint64) << np.uint64(20) | digest[order] >> np.uint64(44))]
         new = np.ones(len(order), bool)
         new[1:] = False
-        for x in (key, digest, bits, size):
+        for x in (key, size, digest, bits):
             x = x[order]
             new[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(new)
+        first, when, asks = order[starts], np.minimum.reduceat(every[order], starts), np.maximum.reduceat(asks[order], starts)
         if not asks.all():  # lists that nobody asks are not compared
-            of = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-            asked = np.bincount(of, asks[order].astype(np.int64)) > 0
-            group = np.cumsum(new) - 1
-            asks_of = np.bincount(group, asks[order].astype(np.int64)) > 0
-            asks = np.empty(len(order), bool)
-            asks[order] = asks_of[group]
-            new &= asked[of]
-        order = order[new]
-        self.key, self.digest, self.bits, self.asks = key[order], digest[order], bits[order], asks[order].astype(bool)
-        self.size, self.place = size[order].astype(np.int64), place[order].astype(np.int64)
-        self.doc, self.tie, self.line = doc[order], tie[order], line[order]
-        # the order of documents and lines, as one number
-        by = np.lexsort((self.line, self.tie, self.doc))
-        self.when = np.empty(len(order), np.int64)
-        self.when[by] = np.cumsum((np.diff(self.doc[by], prepend=0) != 0) | (np.diff(self.tie[by], prepend=0) != 0) | (np.diff(self.line[by], prepend=-1) != 0))
-        self.percent = percent
-
-    def admits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether entries i and j of a word, of which j is not the shorter, may be of a match, and one of them asks for it."""
+            _, of = np.unique(key[first], return_inverse=True)
+            keep = np.bincount(of, asks)[of] > 0
+            first, when, asks = first[keep], when[keep], asks[keep]
+        self.key, self.digest, self.bits, self.when, self.asks = key[first], digest[first], bits[first], when, asks.astype(bool)
+        self.size, self.place, self.percent = size[first].astype(np.int64), place[first].astype(np.int64), percent
+        self.places, at = np.unique(every, return_index=True)
+        self.doc, self.tie, self.line = doc[at], tie[at], line[at]
+
+    def admits(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether entries i and j of a word, of which j is not the shorter, may be of a match, and one of them asks for it; and how
+        far apart they are at least, from 0 to 15 of 16 parts of what a match may be."""
         a, b = self.size[i], self.size[j]
         least = needed(a, b, self.percent)
-        ok = (a >= least) & (np.minimum(a - self.place[i], b - self.place[j]) >= least)
-        ok &= a + b - np.bitwise_count(self.bits[i] ^ self.bits[j]) >= 2 * least
-        return ok & np.where(self.when[i] < self.when[j], self.asks[j], self.asks[i]) & (self.when[i] != self.when[j])
+        far, room = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int64), a + b - 2 * least
+        ok = (far <= room) & (a >= least) & (np.minimum(a - self.place[i], b - self.place[j]) >= least)
+        before = self.when[i] < self.when[j]
+        ok &= np.where(before, self.asks[j], self.asks[i]) & (before | (self.when[j] < self.when[i]))
+        return ok, 15 * far // np.maximum(room, 1)
 
     def lists(self) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]])) if len(self.key) else np.zeros(0, np.int64)
         return starts, np.diff([*starts, len(self.key)])
 
-    def pairs(self, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Admissible (later, earlier) entries; a portion has a later one once. most: as many for a later one are enough."""
+    def pairs(self, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Admissible (later, earlier) entries and how far they are apart; a portion has a later one once. most: as many, the nearest, of
+        a long list's entry against those before it in size are enough."""
         starts, lengths = self.lists()
         at = np.flatnonzero(np.repeat(lengths <= SHORT_LIST, lengths))
         last = np.repeat(starts + lengths, lengths)
-        far = 0
+        step = 0
         while len(at):
-            far += 1
-            at = at[at + far < last[at]]
-            at = at[100 * self.size[at] >= self.percent * self.size[at + far]]  # sizes ascend: all that follow are longer still
-            ok = at[self.admits(at, at + far)]
-            turn = self.when[ok] < self.when[ok + far]
-            yield (ok + far)[turn], ok[turn]
-            yield ok[~turn], (ok + far)[~turn]
+            step += 1
+            at = at[at + step < last[at]]
+            at = at[100 * self.size[at] >= self.percent * self.size[at + step]]  # sizes ascend: all that follow are longer still
+            ok, far = self.admits(at, at + step)
+            one, far = at[ok], far[ok]
+            turn = self.when[one] < self.when[one + step]
+            yield (one + step)[turn], one[turn], far[turn]
+            yield one[~turn], (one + step)[~turn], far[~turn]
         for start, length in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist()):
             for i in range(start, start + length):
                 j = np.arange(i + 1, i + 1 + int(np.searchsorted(self.size[i + 1 : start + length], 100 * self.size[i] // self.percent, side="right")))
-                j = j[self.admits(np.full(len(j), i), j)]
+                ok, far = self.admits(np.full(len(j), i), j)
+                j, far = j[ok], far[ok]
                 before = self.when[j] < self.when[i]
-                yield j[~before], np.full(len(j) - int(before.sum()), i)
-                for x in j[before][:most].tolist():
-                    yield np.array([i]), np.array([x])
+                yield j[~before], np.full(len(j) - int(before.sum()), i), far[~before]
+                near = np.argsort(far[before], kind="stable")[:most]
+                for x, f in zip(j[before][near].tolist(), far[before][near].tolist()):
+                    yield np.array([i]), np.array([x]), np.array([f])
+
+
+def _nearest(x: _Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, whether there are others): the nearest partner in each list, if it is so near that most such match, else up
+    to HANDED that may match."""
+    n = len(x.key)
+    best, who, count, weak = np.full(n, 1 << 62), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    kept = [(np.zeros(0, np.int64),) * 2]
+    for a, b, far in x.pairs(HANDED + 1):
+        count[a] += 1
+        score = far << 32 | b
+        less = score < best[a]
+        best[a[less]], who[a[less]] = score[less], b[less]
+        loose = a[far >= NEAR]
+        weak[loose] += 1
+        some = (far >= NEAR) & (weak[a] <= HANDED)
+        kept.append((a[some], b[some]))
+    near = np.flatnonzero(best >> 32 < NEAR)
+    a, b = (np.concatenate(y) for y in zip(*kept))
+    open_ = best[a] >> 32 >= NEAR
+    a, b = np.concatenate([near, a[open_]]), np.concatenate([who[near], b[open_]])
+    return a, b, count[a] > np.where(best[a] >> 32 < NEAR, 1, HANDED)
 
 
 def _join(percent: int, again: bool):
-    """A shard's rows -> lines that repeat one of their class, without a partner; or lines with an earlier line that they may match.
-    Of each list a line has at most HANDED partners, and `more` tells that there are others; again: all of them."""
+    """A shard's rows -> lines that repeat one of their class, without a partner; or lines with an earlier line that they may match,
+    and whether a list has more of them. again: all that they may match."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         if key[0].as_py() == 0:
             return _repeats(rows)
         x = _Entries(rows, percent)
-        count, later, earlier = np.zeros(len(x.key), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in x.pairs(None if again else HANDED + 1):
-            if not again:
-                count[a] += 1
-                keep = count[a] <= HANDED
-                a, b = a[keep], b[keep]
-            if len(a):
-                later.append(a)
-                earlier.append(b)
-        a, b = np.concatenate(later), np.concatenate(earlier)
-        more = count[a] > HANDED
-        _, once = np.unique(x.when[a] * (len(x.key) + 1) + x.when[b], return_index=True)
-        flagged = np.zeros(len(x.key) + 1, bool)
-        flagged[x.when[a[more]]] = True
-        a, b = a[once], b[once]
-        return _found((x.doc[a], x.tie[a], x.line[a]), (x.doc[b], x.tie[b], x.line[b]), flagged[x.when[a]])
+        if again:
+            a, b = (np.concatenate(y) for y in zip((np.zeros(0, np.int64),) * 2, *((a, b) for a, b, _ in x.pairs(None))))
+            more = np.zeros(len(a), bool)
+        else:
+            a, b, more = _nearest(x)
+        # each two lines once, by the places of the classes' first lines
+        n = len(x.places)
+        a, b = np.searchsorted(x.places, x.when[a]), np.searchsorted(x.places, x.when[b])
+        flagged = np.zeros(n, bool)
+        flagged[a[more]] = True
+        a, b = np.divmod(np.unique(a * n + b), max(1, n))
+        return _found((x.doc[a], x.tie[a], x.line[a]), (x.doc[b], x.tie[b], x.line[b]), flagged[a])
 
     return run
 
@@ -432,8 +504,8 @@ def _gone(docs: DataFrame, tie: Column, id_col: str, text_col: str, percent: int
     # 16 MB of text to a shard, and 1 GB where there is so much that packed rows would hold few entries
     shards = max(8, min(size >> 24, 4096 + (size >> 30)))
 
-    def candidates(rows: DataFrame, again: bool) -> DataFrame:
-        posted = rows.mapInArrow(_post(shards, percent, rarity, groups, again), _PACKED)
+    def candidates(rows: DataFrame, again: bool, words: np.ndarray | None = None) -> DataFrame:
+        posted = rows.mapInArrow(_post(shards, percent, rarity, groups, again, words), _PACKED)
         return materialise(posted.groupBy("kind", "shard").applyInArrow(_join(percent, again), _FOUND), "line-pairs", release=True)
 
     place = [*_KEY, "line"]
@@ -445,7 +517,9 @@ def _gone(docs: DataFrame, tie: Column, id_col: str, text_col: str, percent: int
     if open_.limit(1).count():
         asks = open_.groupBy(*_KEY).agg(F.collect_set("line").alias("asks"))
         asks = F.broadcast(asks) if open_.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else asks
-        gone = gone.union(_matched(rows, candidates(rows.join(asks, on=_KEY, how="left"), True), percent))
+        words = rows.join(asks, on=_KEY).select("text", "asks").mapInArrow(_hear(percent, rarity), "word int").distinct().limit(HEARD + 1)
+        words = words.toArrow().column("word").to_numpy()
+        gone = gone.union(_matched(rows, candidates(rows.join(asks, on=_KEY, how="left"), True, words if len(words) <= HEARD else None), percent))
     out = materialise(gone.groupBy(*_KEY).agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-gone", release=True)
     for x in (found, matched, open_):
         discard(x)
