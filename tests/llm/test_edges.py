@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, and extra columns whose names clash."""
 
+import random
+import re
 from pathlib import Path
 
 import corpus_pipeline
@@ -139,7 +141,7 @@ def test_line_dedup(docs, none):
 
 def test_decontamination(docs, none, items):
     got = by_id(decontaminate.scan(docs, items), "n_words", "hits", "items")
-    want = {1: (11, list(range(1, 11)), ["1"]), 2: (0, [], []), 8: (1, [0], ["4"])}
+    want = {1: (11, list(range(11)), ["1"]), 2: (0, [], []), 8: (1, [0], ["4"])}  # the item without an id hits word 0
     assert len(got) == len(ROWS)
     for i, n, hits, found in got:
         if i in want:
@@ -159,6 +161,27 @@ def test_decontamination_of_capital_sigmas(spark):
     assert by_id(decontaminate.scan(docs, bench), "hits", "items") == [(1, list(range(1, 8)), ["1"])]
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 10])
+def test_decontamination_against_plain_python(spark, monkeypatch, window):
+    """Windows at every place of a text, items shorter than a window, rows that share an id; sets that are too large to broadcast."""
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice(["a", "B", "c", "ΑΣ", "d1"]) + rng.choice(["", ",", "."]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    items = [" ".join(texts[i].split()[k : k + rng.randrange(1, 14)]) for i, k in ((3, 0), (5, 7), (5, 8), (9, 11), (20, 2))]
+    words = lambda t: re.findall(decontaminate.WORD.replace(r"\x7F", "\x7f"), "".join(c.lower() if c.isascii() else c for c in t))
+    want = []
+    cuts = [(str(i), w[k : k + window]) for i, w in enumerate(map(words, items)) for k in range(max(1, len(w) - window + 1)) if w]
+    for i, t in enumerate(texts):
+        w = words(t)
+        at = [(k, cut, item) for item, cut in cuts for k in range(len(w) - len(cut) + 1) if w[k : k + len(cut)] == cut]
+        want.append((i // 2, len(w), sorted({x for k, cut, _ in at for x in range(k, k + len(cut))}), sorted({x for _, _, x in at})))
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert by_id(decontaminate.scan(df, bench, window=window), "n_words", "hits", "items") == sorted(want, key=repr)
+    for limit in ("BROADCAST_WINDOWS", "BROADCAST_BLOCKS", "BROADCAST_DOCS"):
+        monkeypatch.setattr(decontaminate, limit, 0)
+    assert by_id(decontaminate.scan(df, bench, window=window), "n_words", "hits", "items") == sorted(want, key=repr)
+
+
 def test_toxicity(docs, none):
     labels = docs.sparkSession.createDataFrame([(1, 1), (7, 0), (2, 1), (None, 1), (8, None), (99, 0)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
