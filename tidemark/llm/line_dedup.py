@@ -48,6 +48,8 @@ HANDED = 8
 #: The entries that a task gathers before it sends them; entries up to which lists are compared step by step.
 SEND = 1_000_000
 SHORT_LIST = 512
+#: Words of a bitmap in the second join, where lists have more that look alike.
+WIDE = 4
 #: Bits of word hashes that tell which lists a second join needs, and how many such words may be told (4 bytes each); beyond, all lists are joined.
 HEARD_BITS = 24
 HEARD = 1_000_000
@@ -55,8 +57,9 @@ BROADCAST_DOCS = 500_000
 #: Removed lines' numbers (and 4 for each document) up to which they are broadcast, 4 bytes each; more are joined by shuffle.
 BROADCAST_NUMBERS = 8_000_000
 _KEY = ["doc_id", "tie"]
+_PLACE = [*_KEY, "line"]
 _PACKED = "kind int, shard long, k binary, digest binary, map binary, size binary, place binary, doc binary, tie binary, line binary, asks binary"
-_FOUND = "doc_id long, tie long, line int, of_doc long, of_tie long, of_line int, more boolean"
+_FOUND = "doc_id long, tie long, line int, of_doc long, of_tie long, of_line int, far int, more boolean"
 
 
 class Lines:
@@ -250,7 +253,7 @@ def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, aga
             yield rows(_send(every, 0, shards), ["digest", "doc", "tie", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, entries, every, held = Hasher(), [], [], 0
+        hasher, entries, every, held, wide = Hasher(), [], [], 0, WIDE if again else 1
         heard = None if words is None else np.zeros(1 << HEARD_BITS, bool)
         if heard is not None:
             heard[words] = True
@@ -260,7 +263,8 @@ def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, aga
             number = lines.number.astype(np.int32)
             stirred = mix(lines.word, lines.word)
             digest = lines.fold(np.add, stirred)
-            bitmap = lines.fold(np.bitwise_xor, np.uint64(1) << (stirred >> np.uint64(58)))
+            bit, part = np.uint64(1) << (stirred >> np.uint64(58)), stirred >> np.uint64(32) & np.uint64(wide - 1)
+            bitmap = np.stack([lines.fold(np.bitwise_xor, np.where(part == w, bit, np.uint64(0))) for w in range(wide)], axis=1) if wide > 1 else lines.fold(np.bitwise_xor, bit)
             at = lines.full
             if not again:
                 second = lines.fold(np.add, mix(stirred, lines.word))
@@ -285,10 +289,10 @@ def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, aga
     return run
 
 
-def _found(later: tuple, earlier: tuple | None, more: np.ndarray | None) -> pa.Table:
-    n = len(later[0])
-    of = [pa.array(x) for x in earlier] if earlier else [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32())]
-    return pa.table([*(pa.array(x) for x in later), *of, pa.array(more) if more is not None else pa.nulls(n, pa.bool_())], names=["doc_id", "tie", "line", "of_doc", "of_tie", "of_line", "more"])
+def _found(later: tuple, earlier: tuple | None = None, far: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.Table:
+    n, kinds = len(later[0]), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+    rest = [pa.array(x, t) for x, t in zip((*earlier, far, more), kinds)] if earlier else [pa.nulls(n, t) for t in kinds]
+    return pa.table([*map(pa.array, later), *rest], names=["doc_id", "tie", "line", "of_doc", "of_tie", "of_line", "far", "more"])
 
 
 def _repeats(rows: pa.Table) -> pa.Table:
@@ -301,7 +305,7 @@ def _repeats(rows: pa.Table) -> pa.Table:
     new[1:] = (digest[1:] != digest[:-1]) | (second[1:] != second[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     gone = (doc != doc[first]) | (tie != tie[first]) | (line != line[first])
-    return _found((doc[gone], tie[gone], line[gone]), None, None)
+    return _found((doc[gone], tie[gone], line[gone]))
 
 
 def _when(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -318,7 +322,8 @@ class _Entries:
     """A shard's prefix entries, one for each word and class, sorted by word and size."""
 
     def __init__(self, rows: pa.Table, percent: int):
-        key, digest, bits = _received(rows, "k"), _received(rows, "digest"), _received(rows, "map")
+        key, digest = _received(rows, "k"), _received(rows, "digest")
+        bits = _received(rows, "map").reshape(len(key), -1)
         size, place, asks = _received(rows, "size", np.uint32), _received(rows, "place", np.uint32), _received(rows, "asks", np.uint8)
         doc, tie, line = _received(rows, "doc", np.int64), _received(rows, "tie", np.int64), _received(rows, "line", np.int32)
         every = _when(doc, tie, line)
@@ -328,7 +333,7 @@ class _Entries:
         order = order[np.argsort(of << np.uint64(36) | np.minimum(size, 65_535)[order].astype(np.uint64) << np.uint64(20) | digest[order] >> np.uint64(44))]
         new = np.ones(len(order), bool)
         new[1:] = False
-        for x in (key, size, digest, bits):
+        for x in (key, size, digest, bits[:, 0]):
             x = x[order]
             new[1:] |= x[1:] != x[:-1]
         starts = np.flatnonzero(new)
@@ -347,7 +352,7 @@ class _Entries:
         far apart they are at least, from 0 to 15 of 16 parts of what a match may be."""
         a, b = self.size[i], self.size[j]
         least = needed(a, b, self.percent)
-        far, room = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int64), a + b - 2 * least
+        far, room = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1, dtype=np.int64), a + b - 2 * least
         ok = (far <= room) & (a >= least) & (np.minimum(a - self.place[i], b - self.place[j]) >= least)
         before = self.when[i] < self.when[j]
         ok &= np.where(before, self.asks[j], self.asks[i]) & (before | (self.when[j] < self.when[i]))
@@ -385,26 +390,24 @@ class _Entries:
                     yield np.array([i]), np.array([x]), np.array([f])
 
 
-def _nearest(x: _Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, whether there are others): the nearest partner in each list, if it is so near that most such match, else up
-    to HANDED that may match."""
+def _nearest(x: _Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, how far apart, whether there are others): the nearest partner in each list, if it is so near that most such
+    match, else up to HANDED that may match."""
     n = len(x.key)
-    best, who, count, weak = np.full(n, 1 << 62), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    kept = [(np.zeros(0, np.int64),) * 2]
+    best, who, count, loose = np.full(n, 16), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    kept = [(np.zeros(0, np.int64),) * 3]
     for a, b, far in x.pairs(HANDED + 1):
         count[a] += 1
-        score = far << 32 | b
-        less = score < best[a]
-        best[a[less]], who[a[less]] = score[less], b[less]
-        loose = a[far >= NEAR]
-        weak[loose] += 1
-        some = (far >= NEAR) & (weak[a] <= HANDED)
-        kept.append((a[some], b[some]))
-    near = np.flatnonzero(best >> 32 < NEAR)
-    a, b = (np.concatenate(y) for y in zip(*kept))
-    open_ = best[a] >> 32 >= NEAR
-    a, b = np.concatenate([near, a[open_]]), np.concatenate([who[near], b[open_]])
-    return a, b, count[a] > np.where(best[a] >> 32 < NEAR, 1, HANDED)
+        less = far < best[a]
+        best[a[less]], who[a[less]] = far[less], b[less]
+        loose[a[far >= NEAR]] += 1
+        some = (far >= NEAR) & (loose[a] <= HANDED)
+        kept.append((a[some], b[some], far[some]))
+    near = np.flatnonzero(best < NEAR)
+    a, b, far = (np.concatenate(y) for y in zip(*kept))
+    open_ = best[a] >= NEAR
+    a, b, far = (np.concatenate(y) for y in zip((near, who[near], best[near]), (a[open_], b[open_], far[open_])))
+    return a, b, far, count[a] > np.where(best[a] < NEAR, 1, HANDED)
 
 
 def _join(percent: int, again: bool):
@@ -416,17 +419,18 @@ def _join(percent: int, again: bool):
             return _repeats(rows)
         x = _Entries(rows, percent)
         if again:
-            a, b = (np.concatenate(y) for y in zip((np.zeros(0, np.int64),) * 2, *((a, b) for a, b, _ in x.pairs(None))))
+            a, b, far = (np.concatenate(y) for y in zip((np.zeros(0, np.int64),) * 3, *x.pairs(None)))
             more = np.zeros(len(a), bool)
         else:
-            a, b, more = _nearest(x)
+            a, b, far, more = _nearest(x)
         # each two lines once, by the places of the classes' first lines
         n = len(x.places)
         a, b = np.searchsorted(x.places, x.when[a]), np.searchsorted(x.places, x.when[b])
         flagged = np.zeros(n, bool)
         flagged[a[more]] = True
-        a, b = np.divmod(np.unique(a * n + b), max(1, n))
-        return _found((x.doc[a], x.tie[a], x.line[a]), (x.doc[b], x.tie[b], x.line[b]), flagged[a])
+        both, at = np.unique(a * n + b, return_index=True)
+        a, b = np.divmod(both, max(1, n))
+        return _found((x.doc[a], x.tie[a], x.line[a]), (x.doc[b], x.tie[b], x.line[b]), far[at], flagged[a])
 
     return run
 
@@ -457,29 +461,35 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [i for i, (x, y) in enumerate(zip(batch.column("keys").to_pylist(), batch.column("of_keys").to_pylist())) if match(unpack_sorted(x), unpack_sorted(y), percent)]
-            yield batch.select([*_KEY, "line"]).take(pa.array(ok, pa.int64()))
+            yield batch.select(_PLACE).take(pa.array(ok, pa.int64()))
 
     return run
 
 
-def _matched(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, tie, line of the lines of pairs that match a partner, on the words themselves."""
-    place = [*_KEY, "line"]
+def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, tie, line, keys of all lines in pairs."""
     partners = pairs.select(F.col("of_doc").alias("doc_id"), F.col("of_tie").alias("tie"), F.col("of_line").alias("line"))
-    wanted = pairs.select(*place).union(partners).groupBy(*_KEY).agg(F.collect_set("line").alias("wanted"))
+    wanted = pairs.select(*_PLACE).union(partners).groupBy(*_KEY).agg(F.collect_set("line").alias("wanted"))
     wanted = materialise(wanted, "line-wanted")
     ids = F.broadcast(wanted) if wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else wanted
     sets = rows.join(ids, on=_KEY).select(*_KEY, "text", "wanted")
-    sets = materialise(sets.mapInArrow(_wanted, "doc_id long, tie long, line int, keys binary"), "line-sets", release=True)
-    once = sets.dropDuplicates(place)  # repeated rows
-    other = once.select(F.col("doc_id").alias("of_doc"), F.col("tie").alias("of_tie"), F.col("line").alias("of_line"), F.col("keys").alias("of_keys"))
-    both = pairs.select(*place, "of_doc", "of_tie", "of_line").distinct().join(once, on=place).join(other, on=["of_doc", "of_tie", "of_line"])
-    out = materialise(both.select(*place, "keys", "of_keys").mapInArrow(_verify(percent), "doc_id long, tie long, line int").distinct(), "line-matched")
+    out = materialise(sets.mapInArrow(_wanted, "doc_id long, tie long, line int, keys binary"), "line-sets", release=True)
     discard(wanted)
-    discard(sets)
     return out
 
 
+def _matched(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, tie, line of the lines of pairs that match a partner, on the words themselves."""
+    once = sets.dropDuplicates(_PLACE)  # repeated rows
+    other = once.select(*[F.col(c).alias(o) for c, o in zip((*_PLACE, "keys"), ("of_doc", "of_tie", "of_line", "of_keys"))])
+    both = pairs.select(*_PLACE, "of_doc", "of_tie", "of_line").distinct().join(once, on=_PLACE).join(other, on=["of_doc", "of_tie", "of_line"])
+    return materialise(both.select(*_PLACE, "keys", "of_keys").mapInArrow(_verify(percent), "doc_id long, tie long, line int").distinct(), "line-matched", release=True)
+
+
+def _open(pairs: DataFrame, matched: DataFrame) -> DataFrame:
+    return materialise(pairs.join(matched, on=_PLACE, how="left_anti"), "line-open")
+
+
 def _tie(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """Tells rows apart that have one id and different texts; 0 where no id repeats."""
     repeated = docs.select(F.col(id_col).cast("bigint").alias("i")).filter("i IS NOT NULL").groupBy("i").count().filter("count > 1").limit(1).count()
@@ -508,20 +518,29 @@ def _gone(docs: DataFrame, tie: Column, id_col: str, text_col: str, percent: int
         posted = rows.mapInArrow(_post(shards, percent, rarity, groups, again, words), _PACKED)
         return materialise(posted.groupBy("kind", "shard").applyInArrow(_join(percent, again), _FOUND), "line-pairs", release=True)
 
-    place = [*_KEY, "line"]
     found = candidates(rows.withColumn("asks", F.lit(None).cast("array<int>")), False)
     pairs = found.filter("of_doc IS NOT NULL")
-    matched = _matched(rows, pairs, percent)
-    gone = found.filter("of_doc IS NULL").select(*place).union(matched)
-    open_ = materialise(pairs.filter("more").select(*place).distinct().join(matched, on=place, how="left_anti"), "line-open")
-    if open_.limit(1).count():
-        asks = open_.groupBy(*_KEY).agg(F.collect_set("line").alias("asks"))
-        asks = F.broadcast(asks) if open_.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else asks
+    sets = _sets(rows, pairs)
+    # one partner of each line first, then all that were handed on, then, of lines that are still open, all that lists have
+    nearest = pairs.groupBy(*_PLACE).agg(F.min(F.struct("far", "of_doc", "of_tie", "of_line")).alias("x")).select(*_PLACE, "x.of_doc", "x.of_tie", "x.of_line")
+    matched = _matched(sets, nearest, percent)
+    left = _open(pairs, matched)
+    more = _matched(sets, left, percent)
+    last = _open(left.filter("more").select(*_PLACE).distinct(), more)
+    discard(sets)
+    gone = found.filter("of_doc IS NULL").select(*_PLACE).union(matched).union(more)
+    used = [found, matched, left, more, last]
+    if last.limit(1).count():
+        asks = last.groupBy(*_KEY).agg(F.collect_set("line").alias("asks"))
+        asks = F.broadcast(asks) if last.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else asks
         words = rows.join(asks, on=_KEY).select("text", "asks").mapInArrow(_hear(percent, rarity), "word int").distinct().limit(HEARD + 1)
         words = words.toArrow().column("word").to_numpy()
-        gone = gone.union(_matched(rows, candidates(rows.join(asks, on=_KEY, how="left"), True, words if len(words) <= HEARD else None), percent))
+        again = candidates(rows.join(asks, on=_KEY, how="left"), True, words if len(words) <= HEARD else None)
+        sets = _sets(rows, again)
+        used += [again, sets, _matched(sets, again, percent)]
+        gone = gone.union(used[-1])
     out = materialise(gone.groupBy(*_KEY).agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-gone", release=True)
-    for x in (found, matched, open_):
+    for x in used:
         discard(x)
     return out
 
