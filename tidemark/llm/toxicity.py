@@ -1,41 +1,49 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, are smoothed by interpolated Kneser-Ney: bigram continuation counts
-discounted within the class, then the class's continuation counts (at most one for each document), then continuation counts that both
-classes share, then a uniform share for unknown words. A text's margin is the difference of the two log-likelihoods, divided by its tokens, less the shift of
-its language (column lang): the classes differ in their shares of languages, so all words of a language lean to one class. The shifts,
-and a logistic map from margin to score, are fitted on labelled documents that the models have not seen.
-
-The models are fitted on at most about `rows_per_class` documents of each class, chosen by a hash of the id, the same number of
-both; every fourth of them is kept for the logistic map.
-
-Defined results: a null or empty text has no margin and gets the score of the rest of the map, below 0.5; a language that is null or was not seen has the shift of all languages together; labels that are
-null teach nothing; without rows of both classes every score is 0. Repeated rows give a row each; of a document that has
-several labels, the largest counts.
+Two models, of toxic and of ordinary documents, give the words of a text probabilities by their continuation counts: a word counts
+as often as it follows different words, and no more than once for a document, so that passages that are copied by heart are one
+witness. From a count k, the discount min(k, DISCOUNT sqrt k), about what chance adds to it, goes to a backoff distribution that both
+classes share, by the continuations that both have (and half a one for every word, and for all unknown words together). A rare
+expression is thus smoothed towards what the classes have in common; none is left out.
+
+A text's evidence is the sum over its different words of log p(word | toxic) - log p(word | ordinary). The classes of a sample differ in
+their shares of languages and subjects, which tilts all words of one; a word's level is the mean evidence per word of the ordinary documents
+that have it and that the models have not seen, and the mean level of a text's words is taken off each of them. What is left is divided by
+the square root of their number, as the noise of a sum grows like that. A logistic map from this margin to the score is fitted on
+documents that the models have not seen. Nothing but the text is an input of a score.
+
+The sample is at most about `rows_per_class` labelled documents of each class, chosen by a hash of the id. The models are fitted on
+the same number of both classes, three quarters of the smaller class's sample; the rest gives the levels and the logistic map.
+
+Defined results: an empty or null text, and one without words, has margin 0; labels that are null teach nothing; without
+rows of both classes every score is 0; a class whose documents have no words has the shared distribution; repeated rows give a row each;
+of a document that has several labels, the largest counts; an input column `score` is replaced. A text takes the memory of its different words.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_bucket, discard, materialise, table
+from tidemark.llm.common import crc_bucket, table
+from tidemark.llm.packed import portions
 
-#: Documents of a class that the models are fitted on (expected number; texts are used whole).
+#: Documents of a class that the sample has (expected number; texts are used whole).
 ROWS_PER_CLASS = 4_000
-DISCOUNT = 0.75
-#: Words and pairs with fewer continuations than this, in both classes together, are left out: a share of the documents of
-#: a class that the models are fitted on, and a least number.
-MIN_SHARE, MIN_KINDS = 1 / 75, 6
-RIDGE = 1e-4
-#: Of the sample, one row in so many fits the logistic map.
+DISCOUNT = 2.0
+#: Of the models' sample, one row in so many is held for the levels and the logistic map.
 HELD = 4
+#: Documents of a word beyond which its level weighs no more.
+LEVEL_DOCS = 50
+#: Means are added up as integers, so that their order doesn't matter.
+_UNIT = 1 << 40
+RIDGE = 1e-4
 PIECE = 1 << 20
 _WORD = re.compile(r"\w+")
 _BLANK = re.compile(r"\s")
@@ -56,86 +64,60 @@ def tokens(text: str | None) -> Iterator[list[str]]:
         yield _WORD.findall(piece.lower())
 
 
+def distinct_words(text: str | None) -> set[str]:
+    out: set[str] = set()
+    for found in tokens(text):
+        out.update(found)
+    return out
+
+
 class KneserNey:
-    """The two models, as differences of log probabilities: of a word by continuation counts, and of pairs and contexts.
-    All counts are of different words before, as in the lower orders of a trigram model; its highest order, which counts
-    how often a run of words occurs, would learn passages that are copied by heart.
+    """The two models, as differences of log probabilities; levels of words; the logistic map.
 
-    words: w -> (continuations in ordinary, in toxic, in both together); totals: the same summed over all words, and the
-    numbers of words with any; pairs: (h, w) -> (count in ordinary, in toxic); contexts: h -> (count in ordinary, in toxic).
+    counts: word -> continuations in ordinary and in toxic documents.
     """
 
-    def __init__(self, words: dict[str, tuple[int, int, int]], totals: list[tuple[int, int]], pairs: dict[tuple[str, str], tuple[int, int]], contexts: dict[str, tuple[int, int]]):
-        d = DISCOUNT
-        (_, _), (_, _), (all_n, all_kinds) = totals
-        kinds = [k for _, k in totals[:2]]
-        n = [max(1, x) for x, _ in totals[:2]]
-        spare = d * min(all_kinds, len(words) + 1) / max(1, all_n)
-        uniform = spare / (len(words) + 1)
-        floor = lambda k: max(k - d, 0) / max(1, all_n) + uniform
-        left = [d * min(kinds[c], len(words) + 1) / n[c] for c in (0, 1)]
-        prob = lambda c, own, both: max(own - d, 0) / n[c] + left[c] * floor(both)
-        logs = {w: [math.log(prob(c, x[c], x[2])) for c in (0, 1)] for w, x in words.items()}
-        self.word = {w: x[1] - x[0] for w, x in logs.items()}
-
-        self.context: dict[str, tuple[float, dict[str, float]]] = {}
-        kept: dict[str, dict[str, tuple[int, int]]] = defaultdict(dict)
-        for (h, w), x in pairs.items():
-            if w in words:
-                kept[h][w] = x
-        for h, of in kept.items():
-            total = contexts[h]
-            # pairs seen once are cut; their mass goes to the backoff with the discounts
-            used = [sum(x[c] - d for x in of.values() if x[c] > 1) for c in (0, 1)]
-            weight = [1 - used[c] / total[c] if total[c] else 1.0 for c in (0, 1)]
-            diff = {}
-            for w, x in of.items():
-                each = [math.log((x[c] - d) / total[c] + weight[c] * math.exp(logs[w][c])) if x[c] > 1 else math.log(weight[c]) + logs[w][c] for c in (0, 1)]
-                diff[w] = each[1] - each[0]
-            self.context[h] = (math.log(weight[1]) - math.log(weight[0]), diff)
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        n = [sum(x[c] for x in counts.values()) for c in (0, 1)]
+        self.shared_total = sum(min(x) + 0.5 for x in counts.values()) + 0.5
+        self.sizes = n
+        self.weight = [sum(self.discount(x[c]) for x in counts.values()) / n[c] if n[c] else 1.0 for c in (0, 1)]
+        #: What an unknown word says; a word whose counts go to the backoff as a whole says the same, and is not stored.
+        self.unknown = math.log(self.weight[1]) - math.log(self.weight[0])
+        own = {w: x for w, x in counts.items() if max(x) > self.discount(max(x))}
+        self.word = {w: math.log(self.probability(1, x)) - math.log(self.probability(0, x)) for w, x in own.items()}
+        self.level: dict[str, tuple[float, int]] = {}
+        self.mean = 0.0
         self.slope, self.start = 1.0, 0.0
-        self.shift: dict[str | None, float] = {}
-
-    def evidence(self, text: str | None) -> tuple[float, int, int]:
-        """The sum over tokens of log p(token | toxic) - log p(token | ordinary), the tokens that the models know, and all tokens.
-        Words that the models don't know say nothing."""
-        n, h = 0, ""
-        diffs: Counter = Counter()
-        word, context = self.word, self.context
-        for found in tokens(text):
-            n += len(found)
-            here = []
-            for w in found:
-                base = word.get(w)
-                if base is not None:
-                    of = context.get(h)
-                    if of is not None:
-                        pair = of[1].get(w)
-                        base = of[0] + base if pair is None else pair
-                    here.append(base)
-                h = w
-            diffs.update(here)
-        return sum(c * x for x, c in sorted(diffs.items())), diffs.total(), n
-
-    def margin(self, text: str | None, lang: str | None = None) -> float:
-        return self.shifted(*self.evidence(text), lang)
-
-    def shifted(self, total: float, known: int, n: int, lang: str | None) -> float:
-        """The mean evidence of n tokens, of which the known ones are rid of their language's shift."""
-        return (total - known * self.shift.get(lang, self.shift.get(None, 0.0))) / n if known else 0.0
-
-    def score(self, text: str | None, lang: str | None = None) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.margin(text, lang) + self.start))))
-
-    def learn_shifts(self, seen: list[tuple[str | None, int, float, int]]) -> None:
-        """(lang, toxic, total evidence, known tokens): a language's shift is the mean evidence of a known token in its ordinary
-        documents, each document counting once."""
-        of: dict[str | None, list[float]] = defaultdict(list)
-        for lang, toxic, total, known in seen:
-            if not toxic and known:
-                for key in {lang, None}:
-                    of[key].append(total / known)
-        self.shift = {lang: math.fsum(x) / len(x) for lang, x in of.items()}
+
+    @staticmethod
+    def discount(k: int) -> float:
+        return min(k, DISCOUNT * math.sqrt(k))
+
+    def probability(self, c: int, x: tuple[int, int]) -> float:
+        """Of a word with counts x in class c; (0, 0): of all unknown words together."""
+        return (x[c] - self.discount(x[c])) / max(1, self.sizes[c]) + self.weight[c] * (min(x) + 0.5) / self.shared_total
+
+    def evidence(self, words: Iterable[str]) -> float:
+        """The sum of log p(word | toxic) - log p(word | ordinary) over different words."""
+        return math.fsum(self.word.get(w, self.unknown) for w in words)
+
+    def margin(self, text: str | None) -> float:
+        words = distinct_words(text)
+        if not words:
+            return 0.0
+        levels = [x for w in words if (x := self.level.get(w)) is not None]
+        weights = sum(n for _, n in levels)
+        level = math.fsum(x * n for x, n in levels) / weights if weights else self.mean
+        return (self.evidence(words) - level * len(words)) / math.sqrt(len(words))
+
+    def score(self, text: str | None) -> float:
+        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.margin(text) + self.start))))
+
+    def learn_levels(self, seen: Iterable[tuple[str, int, float]], mean: float) -> None:
+        """(word, documents, the sum of their mean evidence), of ordinary documents; their mean."""
+        self.mean = mean
+        self.level = {w: ((total + 2 * mean) / (n + 2), min(n, LEVEL_DOCS)) for w, n, total in seen}
 
     def calibrate(self, seen: list[tuple[float, int]], share: float) -> None:
         """Logistic regression of labels on margins by Newton's method; share: the weight of all toxic rows together."""
@@ -160,95 +142,93 @@ class KneserNey:
         self.slope, self.start = a / scale, b
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> (toxic, g, h, w, n): the different runs of three words of a batch, where '' stands before the first
-    word; where h is null, n is the number of documents that have w."""
-    for batch in batches:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) -> (toxic, h, w, n): a portion's different pairs of neighbours, where '' stands before the first word; where h is
+    null, n is the number of documents that have w."""
+    for batch in portions(batches):
         runs: tuple[set, set] = (set(), set())
         docs: tuple[Counter, Counter] = (Counter(), Counter())
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            g, h, here = "", "", set()
+        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            h, here = "", set()
             for found in tokens(text):
                 if found:
-                    runs[toxic].update(zip([g, h, *found], [h, *found], found))
+                    runs[toxic].update(zip([h, *found], found))
                     here.update(found)
-                    g, h = ([h, *found])[-2:]
+                    h = found[-1]
             docs[toxic].update(here)
         for toxic in (0, 1):
-            rows = [(*x, 1) for x in runs[toxic]] + [(None, None, w, k) for w, k in docs[toxic].items()]
-            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(rows), pa.int32()), *(pa.array([x[c] for x in rows], pa.string()) for c in range(3)), pa.array([x[3] for x in rows], pa.int64())], names=["toxic", "g", "h", "w", "n"])
+            rows = [(*x, 1) for x in runs[toxic]] + [(None, w, k) for w, k in docs[toxic].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(rows), pa.int32()), *(pa.array([x[c] for x in rows], pa.string()) for c in range(2)), pa.array([x[2] for x in rows], pa.int64())], names=["toxic", "h", "w", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", rows_per_class: int = ROWS_PER_CLASS) -> KneserNey | None:
-    """The models and their logistic map; None without rows of both classes. labels: id and label, one row a document. The sample
-    is chosen among the labels, by a hash of the id, and its ids are broadcast: no text but the sample's is moved."""
-    rows = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("_x")).filter("toxic IS NOT NULL AND _id IS NOT NULL")
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int) -> tuple[DataFrame, dict[int, int]] | None:
+    """toxic, text, held of the labelled documents that are used, and the classes' sizes. The sample is chosen among the labels, and
+    its ids are broadcast: no text but the sample's is moved."""
+    rows = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("toxic")).filter("toxic IS NOT NULL AND _id IS NOT NULL")
+    rows = rows.groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("_x", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)))
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
     bound = min(rows_per_class, *sizes.values())
-    limit = F.when(F.col("toxic") == 1, int(bound / sizes[1] * (1 << 30))).otherwise(int(bound / sizes[0] * (1 << 30)))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), _language(docs, lang_col)).filter("text IS NOT NULL")
-    sample = texts.join(F.broadcast(rows.filter(F.col("_x") < limit)), on="_id")
-    part = F.pmod(F.col("_x"), F.lit(HELD))
-    runs = sample.filter(part != 0).select("toxic", "text").mapInArrow(_triples, "toxic int, g string, h string, w string, n long")
+    below = lambda n: F.when(F.col("toxic") == 1, int(min(1, n / sizes[1]) * (1 << 30))).otherwise(int(min(1, n / sizes[0]) * (1 << 30)))
+    held = (F.pmod(F.col("_x"), F.lit(HELD)) == 0) | (F.col("_x") >= below(bound))
+    chosen = rows.filter(F.col("_x") < below(rows_per_class)).select("_id", "toxic", held.alias("held"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    return texts.join(F.broadcast(chosen), on="_id").select("toxic", "text", "held"), sizes
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> KneserNey | None:
+    """The models and their logistic map; None without rows of both classes. labels: id and label."""
+    found = _sample(docs, labels, id_col, text_col, label_col, rows_per_class)
+    if found is None:
+        return None
+    sample, sizes = found
+    runs = sample.filter("NOT held").select("toxic", "text").mapInArrow(_pairs, "toxic int, h string, w string, n long")
     one = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
-    kind = lambda c: F.when(F.col("h").isNull(), F.col(c)).otherwise(F.least(F.col(c), F.lit(1)))
-    runs = runs.groupBy("g", "h", "w").agg(one(0).alias("c0"), one(1).alias("c1")).withColumns({c: kind(c) for c in ("c0", "c1")})
-    pairs = materialise(runs.groupBy("h", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxicity-pairs")
-    # a word's continuations, but no more than documents: copies and long texts that repeat a word are one witness
-    has = lambda c: F.least(F.sum((F.col("h").isNotNull() & (F.col(c) > 0)).cast("int")), F.sum(F.when(F.col("h").isNull(), F.col(c))))
-    words = pairs.groupBy("w").agg(has("c0").alias("k0"), has("c1").alias("k1"))
-    words = materialise(words.withColumn("k", F.col("k0") + F.col("k1")), "toxicity-words")
-    least = max(MIN_KINDS, round(bound * (1 - 1 / HELD) * MIN_SHARE))
-    all_of = words.agg(*[f for c in ("k0", "k1", "k") for f in (F.sum(c), F.sum((F.col(c) > 0).cast("int")))]).first()
-    totals = [(all_of[i] or 0, all_of[i + 1] or 0) for i in (0, 2, 4)]
-    known = {w: (a, b, c) for w, a, b, c in words.filter(F.col("k") >= least).select("w", "k0", "k1", "k").toArrow().to_pandas().itertuples(index=False, name=None)}
-    often = pairs.filter(F.col("h").isNotNull() & (F.col("c0") + F.col("c1") >= least))
-    kept = {(h, w): (a, b) for h, w, a, b in often.select("h", "w", "c0", "c1").toArrow().to_pandas().itertuples(index=False, name=None)}
-    contexts = pairs.join(often.select("h").distinct(), on="h", how="left_semi").groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    contexts = {h: (a, b) for h, a, b in contexts.toArrow().to_pandas().itertuples(index=False, name=None)}
-    model = KneserNey(known, totals, kept, contexts)
-    discard(pairs)
-    discard(words)
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    runs = runs.groupBy("h", "w").agg(one(0).alias("c0"), one(1).alias("c1"))
+    count = lambda c: F.least(F.sum((F.col("h").isNotNull() & (F.col(c) > 0)).cast("int")), F.sum(F.when(F.col("h").isNull(), F.col(c)))).alias(c)
+    counts = runs.groupBy("w").agg(count("c0"), count("c1"))
+    model = KneserNey({w: (a, b) for w, a, b in counts.toArrow().to_pandas().itertuples(index=False, name=None)})
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.evidence(t) for t in batch.column(2).to_pylist()]
-            out = [pa.array([x[c] for x in found], kind) for c, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=["toxic", "_lang", "total", "known", "n"])
-
-    held = sample.filter(part == 0).select("toxic", "_lang", "text").mapInArrow(evidence, "toxic int, _lang string, total double, known long, n long").collect()
-    model.learn_shifts([(r["_lang"], r["toxic"], r["total"], r["known"]) for r in held])
-    seen = sorted((model.shifted(r["total"], r["known"], r["n"], r["_lang"]), r["toxic"]) for r in held)
-    model.calibrate(seen, sizes[1] ** 0.5 / (sizes[0] ** 0.5 + sizes[1] ** 0.5))
-    return model
+            rows = [(w, round(model.evidence(words) / len(words) * _UNIT)) for t in batch.column("text").to_pylist() if (words := distinct_words(t)) for w in [*sorted(words), ""]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64())], names=["w", "x"])
+
+    ordinary = sample.filter("held AND toxic = 0").select("text").mapInArrow(means, "w string, x long")
+    levels = ordinary.groupBy("w").agg(F.count("*").alias("n"), F.sum("x").alias("x")).toArrow().to_pandas()
+    levels = {w: (n, x / _UNIT) for w, n, x in levels.itertuples(index=False, name=None)}
+    n, total = levels.pop("", (1, 0.0))
+    model.learn_levels(((w, *x) for w, x in levels.items()), total / n)
 
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([model.margin(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("toxic")], names=["x", "toxic"])
 
-def _language(docs: DataFrame, lang_col: str) -> Column:
-    return (F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")).alias("_lang")
+    seen = sample.filter("held").select("text", "toxic").mapInArrow(margins, "x double, toxic int").collect()
+    model.calibrate(sorted(map(tuple, seen)), sizes[1] ** 0.5 / (sizes[0] ** 0.5 + sizes[1] ** 0.5))
+    return model
 
 
-def score(docs: DataFrame, model: KneserNey | None, *, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: KneserNey | None, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs, and score."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pa.array([model.score(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], out], names=[*batch.schema.names[2:], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.score(t) for t in batch.column(0).to_pylist()], pa.float64())], names=["row", "score"])
 
-    rows = docs.select(F.col(text_col).alias("_text"), _language(docs, lang_col), *[F.col(c) for c in keep])
-    return rows.mapInArrow(scored, rows.drop("_text", "_lang").schema.add("score", "double"))
+    rows = docs.select(docs[text_col].alias("text"), F.struct(*[docs[c] for c in keep]).alias("row"))
+    return rows.mapInArrow(scored, rows.drop("text").schema.add("score", "double")).select("row.*", "score")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document by models of the labelled ones whose crc32 modulo 5 is not 0."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(crc_bucket(F.col("doc_id"), 5) != 0)
-    model = fit(docs, labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    rows = docs.select("doc_id", "text", "lang", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
+    model = fit(docs, labels)
+    rows = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
     out = score(rows, model, keep=["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
