@@ -7,7 +7,8 @@ least one is known, as the mean of their log frequencies; a word of which not ev
 language with the highest sum wins; the score is its posterior with equal priors.
 
 Defined results: a null or empty text, and one without letters, is `und` with score 0; so is every text when no labelled row is
-left to learn from. Labels that are null teach nothing. Repeated rows give a row each. Texts are read in pieces of
+left to learn from. Of languages that are equally likely the first by name wins. Labels that are null teach nothing. Repeated rows give a
+row each. Input columns named lang_pred or score are replaced. Texts are read in pieces of
 `PIECE` characters cut at white space, so a long text takes no more memory than its words.
 """
 
@@ -19,10 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_bucket, table
+from tidemark.llm.packed import portions
 
 UND = "und"
 #: Documents of a language that the model is fitted on (expected number; texts are used whole).
@@ -34,22 +36,32 @@ SMOOTHING = 0.5
 MIN_COUNT = 2
 PIECE = 1 << 20
 _CACHE_WORDS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Languages up to which the sample's shares are broadcast.
+BROADCAST_LANGS = 10_000
+_ALNUM = re.compile(r"[^\W\d_]+")
 _BLANK = re.compile(r"\s")
 
 
+def letter_runs(text: str) -> list[str]:
+    """Lower-cased runs of letters; fractions, superscripts and other number signs are none."""
+    found = _ALNUM.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def count_words(text: str | None) -> Counter:
     """Lower-cased letter runs of a whole text."""
     if not text:
         return Counter()
     if len(text) <= PIECE:
-        return Counter(_LETTERS.findall(text.lower()))
+        return Counter(letter_runs(text))
     out: Counter = Counter()
     start = 0
     while start < len(text):
         cut = _BLANK.search(text, min(len(text), start + PIECE))
         end = cut.end() if cut else len(text)
-        out.update(_LETTERS.findall(text[start:end].lower()))
+        out.update(letter_runs(text[start:end]))
         start = end
     return out
 
@@ -100,9 +112,9 @@ class Model:
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, ord, gram, n): counts of a batch; ord 0 has words, n character n-grams."""
-    for batch in batches:
+    for batch in portions(batches):
         of: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             of.setdefault(lang, Counter()).update(count_words(text))
         rows: dict[tuple[str, int], Counter] = {}
         for lang, words in of.items():
@@ -116,38 +128,40 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([n] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "ord", "gram", "n"])
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", spread: Column, rows_per_lang: int = ROWS_PER_LANG) -> Model:
-    """A model of the labelled rows. spread: an integer column that chooses the sample evenly and alike on every run."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(spread, F.lit(1 << 30)).alias("_x")).filter("lang IS NOT NULL AND text IS NOT NULL")
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Model:
+    """A model of the labelled rows. A hash of id and text chooses the sample evenly and alike on every run."""
+    spread = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread.alias("_x")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Model({}, [])
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, rows_per_lang / sizes[k]) * (1 << 30))))])
-    sample = rows.filter(F.col("_x") < share[F.col("lang")]).select("lang", "text")
+    shares = rows.sparkSession.createDataFrame([(k, int(min(1.0, rows_per_lang / n) * (1 << 30))) for k, n in sizes.items()], "lang string, _share long")
+    sample = rows.join(F.broadcast(shares) if len(langs) <= BROADCAST_LANGS else shares, on="lang").filter("_x < _share").select("lang", "text")
     counts = sample.mapInArrow(_sample_counts, "lang string, ord int, gram string, n long").groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
-    each = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)) for k in langs])
-    counts = counts.groupBy("ord", "gram").agg(each.alias("c"), F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    counts = counts.groupBy("ord", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("c"), F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
     found: dict[int, dict[str, list[int]]] = {}
+    place = {k: i for i, k in enumerate(langs)}
     for batch in counts.select("ord", "gram", "c").toArrow().to_batches():
         for o, g, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            found.setdefault(o, {})[g] = c
+            row = found.setdefault(o, {})[g] = [0] * len(langs)
+            for x in c:
+                row[place[x["lang"]]] = x["n"]
     return Model(found, langs)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs, lang_pred and score."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[float, ...]] = {}
         for batch in batches:
             out = [model.predict(t, cache) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["row", "lang_pred", "score"])
 
-    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c) for c in keep])
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(scored, schema)
+    rows = docs.select(docs[text_col].alias("text"), F.struct(*[docs[c] for c in keep]).alias("row"))
+    return rows.mapInArrow(scored, rows.drop("text").schema.add("lang_pred", "string").add("score", "double")).select("row.*", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -166,6 +180,6 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", le
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every document from a model of those whose crc32 modulo 4 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", crc_bucket(F.col("doc_id"), 4).alias("_fold"))
-    model = fit(docs.filter("_fold <> 2"), spread=F.xxhash64("doc_id"))
+    model = fit(docs.filter("_fold <> 2"))
     rows = docs.select("doc_id", "text", (F.col("_fold") == 2).alias("held_out"))
     return predict(rows, model, keep=["doc_id", "held_out"])
