@@ -1,17 +1,20 @@
 """URL filters: host-suffix and path-prefix rules.
 
-Each URL is expanded into expressions: a suffix of its host's labels joined to a prefix of its path. Only the shapes
-(labels of the host, characters of the path) that occur among the rules are expanded, so a URL makes as many expressions
-as there are shapes, however deep its host or path. Expressions are joined to the rules on the first 32 bits of their
+Each URL is expanded into expressions: a suffix of its host's labels and a prefix of its path, with a `?` between, which neither
+can hold. Only the shapes (labels of the host, characters of the path) that occur among the rules are expanded, so a URL makes as
+many expressions as there are shapes that it is long enough for. Expressions are joined to the rules on the first 32 bits of their
 SHA-256; a hit counts once the whole digest is equal; of the rules that fit, the longest wins.
 
 Defined results: a null URL, or one without `://`, has an empty host and path and fits no rule; a URL that no rule fits
 gets `default`; an empty table gives no rows; repeated rows give a row each; of two rules with the same host and path, block
-wins.
+wins; of two of the same length, the one with the longer host; URLs of any length are read as a whole. Columns of pages other than id and URL
+are left out, so none can clash.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,25 +48,23 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     """page_id, host, path, rule, verdict for each row of pages. rules: verdict (allow or block), host, path."""
     keyed = rules.select("verdict", ascii_lower(F.col("host")).alias("host"), F.col("path")).filter("host IS NOT NULL AND path IS NOT NULL")
     keyed = keyed.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    keyed = keyed.withColumn("rule", F.concat("host", "path"))
-    keyed = keyed.select("rule", "verdict", F.length("rule").alias("length"), F.length("host").alias("host_length"), F.sha2("rule", 256).alias("digest"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"))
-    shapes = [(r[0], r[1]) for r in keyed.select("labels", "chars").distinct().collect()]
+    both = lambda host, path: F.concat(host, F.lit("?"), path)
+    short = keyed.select(F.concat("host", "path").alias("rule"), "verdict", (F.length("host") + F.length("path")).alias("length"), F.length("host").alias("host_length"), F.sha2(both(F.col("host"), F.col("path")), 256).alias("digest"))
+    short = short.withColumn("short", F.substring("digest", 1, 8))
     small = keyed.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    shapes = keyed.select(F.size(F.split("host", r"\.")).alias("k"), F.length("path").alias("n")).distinct().collect()
+    shapes = F.from_json(F.lit(json.dumps(sorted([r["k"], r["n"]] for r in shapes))), "array<array<int>>")
 
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
-    labels = F.size(F.split("host", r"\."))
-    expressions = F.array_compact(F.array(*[F.when((labels >= k) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n))) for k, n in sorted(shapes)])) if shapes else F.array().cast("array<string>")
-    # one expression of length null for each row itself, so that pages without a hit and repeated rows stay
-    digests = F.transform(expressions, lambda x: F.sha2(x, 256))
-    asked = urls.select("page_id", "_url", "host", "path", F.explode(F.concat(digests, F.array(F.lit("")))).alias("asked"))
-    asked = asked.withColumn("short", F.substring("asked", 1, 8))
-    short = keyed.select("rule", "verdict", "length", "host_length", "digest").unionByName(rules.sparkSession.range(1).select(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("host_length"), F.lit("").alias("digest")))
-    short = short.withColumn("short", F.substring("digest", 1, 8))
-    hits = asked.join(F.broadcast(short) if small else short, on="short", how="inner").filter(F.col("asked") == F.col("digest"))
+    fits = F.filter(shapes, lambda s: (F.size(F.split("host", r"\.")) >= s[0]) & (F.length("path") >= s[1]))
+    digests = F.transform(fits, lambda s: F.sha2(both(F.call_function("substring_index", F.col("host"), F.lit("."), -s[0]), F.substring(F.col("path"), F.lit(1), s[1])), 256))
+    asked = urls.select("*", F.posexplode_outer(digests).alias("at", "asked"))
+    hit = (F.substring(asked["asked"], 1, 8) == short["short"]) & (asked["asked"] == short["digest"])
+    hits = asked.join(F.broadcast(short) if small else short, on=hit, how="left")
     best = hits.groupBy("page_id", "_url", "host", "path").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct("length", "host_length", "rule", "verdict"))).alias("best"),
-        F.count(F.when(F.col("rule").isNull(), 1)).alias("_rows"),
+        F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).alias("_rows"),
     )
     best = best.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
