@@ -4,9 +4,9 @@ A source's expected copies a document are target / source size. Documents of a s
 copies are summed up as a prefix, one random offset of the source is added, and a document is emitted once for each
 integer that its stretch of the prefix sum crosses.
 
-The order is by size class (bits of the size), then by a hashed sub-block, then by size, so that the copies are spread
-evenly over sizes and the words taken come near the target. The prefix sum has two levels: sizes of the blocks
-(source, class, sub-block), which are few, and the rank inside a block; no task holds a whole source.
+The order is by size class (the size's first CLASS_BITS bits), then by a hashed sub-block, then by size: nearly by size, so that the copies
+are spread evenly over sizes, and a source's words miss its target by about its largest document at most. The prefix sum has two levels:
+sizes of the blocks (source, class, sub-block), which are few, and the rank inside a block; no task holds a whole source.
 
 Defined results: a null text has size 0; a null source is a source, the last one; an empty table gives no rows; repeated
 rows are documents of their own; a null doc_id is ordered as the empty text. Columns of the input are kept apart in a
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACED_WORD, join_lookup, materialise, md5_fraction
 
-#: Rows of a block that ranks are taken in, and the most sub-blocks of a size class.
-BLOCK_ROWS = 1_000
+#: Leading bits of a size that make its class.
+CLASS_BITS = 5
+#: Rows of the table for each sub-block of a size class, and the most sub-blocks.
+BLOCK_ROWS = 16_000
 MAX_SUB_BLOCKS = 20_000
 #: Weights of the sources in order, repeating, and the most copies of a source that its target may ask for.
 WEIGHTS = (1, 2, 3)
@@ -59,7 +61,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     subs = max(1, min(-(-rows // BLOCK_ROWS), MAX_SUB_BLOCKS))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), F.md5(name.cast("binary")).alias("_h"), *([F.struct(*payload).alias("row")] if payload else []))
-    sized = sized.withColumns({"_class": F.length(F.bin("size")), "_sub": F.shiftright(md5_fraction(name) * subs, 32)})
+    bits = F.length(F.bin("size"))
+    sized = sized.withColumns({"_class": bits * (1 << CLASS_BITS) + F.expr(f"shiftright(size, greatest(0, length(bin(size)) - {CLASS_BITS}))"), "_sub": F.shiftright(md5_fraction(name) * subs, 32)})
 
     blocks = materialise(sized.groupBy("source", "_class", "_sub").agg(F.count("*").alias("_n"), F.sum("size").alias("size")), "mix-blocks")
     sources = materialise(source_targets(blocks.groupBy("source").agg(F.sum("size").alias("size")), weights, max_copies), "mix-sources")
@@ -82,18 +85,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the documents' own columns, a row for each copy, and the copy's number (0, 1, ...) as `copy`."""
-    columns = [c for c in docs.columns if c != "copy"]
-    mixed = mix(docs, payload=columns, **how).filter("copies > 0")
-    return mixed.select("row", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")).select("row.*", "copy")
+    """The mix itself: the documents' own columns, a row for each copy, and the copy's number (0, 1, ...) as `copy`, or where the
+    documents have such a column, as `copy_` (and so on)."""
+    name = "copy"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    mixed = mix(docs, payload=docs.columns, **how).filter("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias(name)).select("row.*", name)
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
     md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-n AS (SELECT greatest(1, least((count(*) + 999) // 1000, 20000)) AS subs FROM d),
-b AS (SELECT d.*, length(bin(size)) AS class, (CAST(('0x' || substr(h, 1, 8)) AS BIGINT) * subs) // 4294967296 AS sub FROM d, n),
+n AS (SELECT greatest(1, least((count(*) + 15999) // 16000, 20000)) AS subs FROM d),
+b AS (SELECT d.*, length(bin(size)) * 32 + (size >> greatest(0, length(bin(size)) - 5)) AS class, (CAST(('0x' || substr(h, 1, 8)) AS BIGINT) * subs) // 4294967296 AS sub FROM d, n),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, source_size * 3 AS cap FROM s),
 f AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, sum(w) OVER ()::BIGINT AS ws,
