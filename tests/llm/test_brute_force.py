@@ -3,11 +3,13 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import langid, line_dedup, lm_score, near_dedup, packed, toxicity
+from tidemark.llm import langid, line_dedup, lm_score, mixing, near_dedup, packed, toxicity
 
 
 def documents(spark, data):
@@ -137,6 +139,21 @@ def test_line_dedup_of_one_large_group(spark, monkeypatch):
     assert {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(df).collect()} == repeated(texts)
 
 
+def test_mix_comes_near_its_targets(spark):
+    """Each source's words miss its target by its largest document and 2 percent at most."""
+    of = collections.defaultdict(lambda: [0, 0, 0.0])
+    data = "/root/testdata/sf0.1"
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source").collect()}
+    for r in mixing.op10_mix(spark, data).collect():
+        assert r["taken"] <= 3 * r["size"]
+        x = of[source[r["doc_id"]]]
+        of[source[r["doc_id"]]] = [x[0] + r["taken"], max(x[1], r["size"]), r["target"]]
+    assert len(of) > 10
+    for taken, largest, target in of.values():
+        assert abs(taken - target) <= largest + 0.02 * target
+    assert sum(abs(taken - target) for taken, _, target in of.values()) <= 0.03 * sum(x[2] for x in of.values())
+
+
 def test_language_held_out(spark):
     data = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect()}
@@ -155,6 +172,8 @@ def test_language_backs_off():
     assert model.predict("qqq", {})[0] == "bb"  # by single letters
     assert model.predict("zzz", {})[1] == pytest.approx(0.5)
     assert model.predict("123 ...", {}) == (langid.UND, 0.0)
+    assert model.predict("½ ² Ⅷ ①", {}) == (langid.UND, 0.0)
+    assert langid.letter_runs("Aß½b ²c 1x") == ["aß", "b", "c", "x"]
     long = "der " * 1000 + "the"
     langid.PIECE, whole = 64, langid.PIECE
     try:
@@ -175,24 +194,55 @@ def test_toxicity_held_out(spark):
 
 
 def test_kneser_ney_is_a_distribution():
-    words_ = {"a": (3, 1, 4), "b": (2, 5, 7), "c": (0, 2, 2)}
-    model = toxicity.KneserNey(words_, [(5, 2), (8, 3), (13, 3)], {("a", "b"): (3, 2)}, {"a": (4, 3)})
-    assert model.word["c"] > 0 > model.word["a"]
-    assert model.margin("") == 0.0 and model.margin(None) == 0.0 and model.margin("unknown words") == 0.0
+    counts = {"a": (3, 0), "b": (20, 50), "c": (0, 12), "d": (1, 1), "e": (40, 2)}
+    for counts in (counts, {"a": (0, 9), "b": (0, 1)}, {}):
+        model = toxicity.KneserNey(counts)
+        for c in (0, 1):
+            assert sum(model.probability(c, x) for x in counts.values()) + model.probability(c, (0, 0)) == pytest.approx(1)
+        for w, x in counts.items():
+            assert model.word.get(w, model.unknown) == pytest.approx(math.log(model.probability(1, x) / model.probability(0, x)))
 
 
 def test_toxicity_of_short_and_wholly_toxic_texts():
     """All of a text's evidence counts: no part of it is taken off as the text's own level."""
-    words_ = {"a": (3, 1, 4), "b": (2, 5, 7), "c": (0, 4, 4)}
-    model = toxicity.KneserNey(words_, [(5, 2), (10, 3), (15, 3)], {}, {})
+    model = toxicity.KneserNey({"a": (30, 10), "b": (20, 50), "c": (0, 40), "d": (25, 25)})
     for text in ("c", "c c c", "c c b", "c unknown"):
         assert model.margin(text) > 0 > model.margin("a")
-    assert model.margin("c c b") == pytest.approx((2 * model.word["c"] + model.word["b"]) / 3)
-    model.learn_shifts([("de", 0, 1.0, 2), ("de", 1, 9.0, 1), ("en", 0, -1.0, 4), ("en", 0, 0.0, 0)])
-    assert model.shift == {"de": 0.5, "en": -0.25, None: 0.125}
-    assert model.margin("c c", "de") == pytest.approx(model.word["c"] - 0.5)
-    assert model.margin("c", "xx") == model.margin("c", None) == pytest.approx(model.word["c"] - 0.125)
-    assert model.margin("", "de") == 0.0
+    assert model.margin("c c b") == pytest.approx((model.word["c"] + model.word["b"]) / 2**0.5)
+    model.learn_levels([("a", 4, -0.4), ("d", 100, 20.0)], -0.05)
+    assert model.level == {"a": (-0.5 / 6, 4), "d": (19.9 / 102, toxicity.LEVEL_DOCS)}
+    assert model.margin("c") == pytest.approx(model.word["c"] + 0.05)
+    level = (4 * -0.5 / 6 + 50 * 19.9 / 102) / 54
+    assert model.margin("a d c") == pytest.approx((model.word["a"] + model.word["c"] + model.word["d"] - 3 * level) / 3**0.5)
+    assert model.margin("") == model.margin(None) == model.margin("...") == 0.0
+
+
+def test_toxicity_equals_plain_python(spark, data):
+    """The model of a sample, its levels and margins, counted again."""
+    texts = {i: t for i, t in documents(spark, data).items() if t is not None}
+    labels = {r["doc_id"]: int(r["toxic"] > 0) for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r["toxic"] is not None and r["doc_id"] in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    sample = toxicity._sample(df.withColumn("text", F.col("doc_id").cast("string")), known, "doc_id", "text", "toxic", 20)[0].collect()
+    split = {int(r["text"]): r["held"] for r in sample}
+    before, docs = (collections.defaultdict(set), collections.defaultdict(set)), (collections.Counter(), collections.Counter())
+    for i in (i for i, held in split.items() if not held):
+        w = re.findall(r"\w+", texts[i].lower())
+        docs[labels[i]].update(set(w))
+        for h, x in zip(["", *w], w):
+            before[labels[i]][x].add(h)
+    model = toxicity.KneserNey({w: tuple(min(len(before[c][w]), docs[c][w]) for c in (0, 1)) for w in {*docs[0], *docs[1]}})
+    held = [set(re.findall(r"\w+", texts[i].lower())) for i, h in split.items() if h and not labels[i]]
+    mean = [model.evidence(w) / len(w) for w in held if w]
+    level = collections.defaultdict(list)
+    for w, x in zip((w for w in held if w), mean):
+        for y in w:
+            level[y].append(x)
+    model.learn_levels([(w, len(x), sum(x)) for w, x in level.items()], sum(mean) / len(mean))
+    fitted = toxicity.fit(df, known, rows_per_class=20)
+    assert fitted.word == pytest.approx(model.word) and set(fitted.level) == set(model.level)
+    for t in texts.values():
+        assert fitted.margin(t) == pytest.approx(model.margin(t), abs=1e-6)
 
 
 def test_line_dedup_of_short_lines(spark):

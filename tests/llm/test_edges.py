@@ -47,11 +47,12 @@ def by_id(df, *columns):
 
 
 def test_language(docs, none):
-    model = langid.fit(docs, spread=F.xxhash64("doc_id"))
+    model = langid.fit(docs)
+    assert langid.predict(docs, model).columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"]
     got = by_id(langid.predict(docs, model, keep=["doc_id"]), "lang_pred")
     assert len(got) == len(ROWS)
     assert {i: p for i, p in got if i in (2, 3, 4, 8)} == dict.fromkeys((2, 3, 4, 8), langid.UND)
-    assert langid.predict(none, langid.fit(none, spread=F.xxhash64("doc_id"))).count() == 0
+    assert langid.predict(none, langid.fit(none)).count() == 0
     assert {r["lang_pred"] for r in langid.predict(docs, langid.Model({}, []), keep=["doc_id"]).collect()} == {langid.UND}
     assert langid.keep_identified(docs, model).columns == docs.columns
 
@@ -130,6 +131,27 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, rules.filter("false")).collect()} == {"allow"}
 
 
+def test_urls_of_many_rules(spark, monkeypatch):
+    """Host and path are compared apart; a set of rules that is too large to broadcast; many shapes."""
+    rng = random.Random(4)
+    host = lambda: ".".join(rng.choice(["a", "bb", "org", "example"]) for _ in range(rng.randrange(1, 5)))
+    path = lambda: "".join(rng.choice(["/", "x", "g", "yy"]) for _ in range(rng.randrange(6)))
+    rules = {("example.or", "g/"): "block", ("", ""): "block", ("org?", ""): "block", ("org", "?"): "block"}
+    rules |= {(host(), p): rng.choice(["allow", "block"]) for p in ("/" + path() if rng.random() < 0.8 else "" for _ in range(150))}
+    urls = ["http://example.org/x", "http://example.or/g/"] + [f"http://{host()}/{path()}" for _ in range(300)]
+    table = url_filter.rule_table(spark, [(v, h, p) for (h, p), v in rules.items()])
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string")
+    want = []
+    for i, u in [*enumerate(urls), (0, urls[0])]:
+        h, _, p = u[7:].partition("/")
+        fit = [(len(rh + rp), len(rh), rh + rp, v) for (rh, rp), v in rules.items() if (h == rh or h.endswith("." + rh) and rh) and ("/" + p).startswith(rp)]
+        want.append((i, *max(fit, default=(0, 0, None, "allow"))[2:]))
+    for limit in (url_filter.BROADCAST_RULES, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+        got = [(r["page_id"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, table).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_line_dedup(docs, none):
     got = by_id(line_dedup.repeated_lines(docs), "removed")
     assert got == sorted([(1, []), (2, []), (3, []), (4, []), (5, [0]), (5, [0]), (None, []), (7, []), (8, [])], key=repr)
@@ -191,6 +213,11 @@ def test_toxicity(docs, none):
     assert toxicity.fit(none, labels) is not None
     assert {r["score"] for r in toxicity.score(docs, None, keep=["doc_id"]).collect()} == {0.0}
     assert toxicity.score(none, model, keep=["doc_id"]).count() == 0
+    for given in (model, None):
+        out = toxicity.score(docs, given)
+        assert out.columns == [c for c in docs.columns if c != "score"] + ["score"] and out.count() == len(ROWS)
+    silent = docs.sparkSession.createDataFrame([(2, 1), (3, 1), (1, 0), (7, 0)], "doc_id long, toxic int")  # no toxic words at all
+    assert {r["score"] <= 1 for r in toxicity.score(docs, toxicity.fit(docs, silent)).collect()} == {True}
 
 
 def test_near_duplicates(docs, none):
@@ -199,6 +226,8 @@ def test_near_duplicates(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
     out = near_dedup.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == 7
+    twice = near_dedup.deduplicate(docs.filter("doc_id >= 3").unionByName(docs.filter("doc_id = 7")))
+    assert [i for (i,) in by_id(twice)] == [3, 4, 5, 7, 8]
 
 
 def test_mixing(docs, none):
@@ -209,9 +238,9 @@ def test_mixing(docs, none):
     again = by_id(mixing.mix(docs.repartition(5)), "copies")
     assert again == by_id(mixed, "copies")
     assert mixing.mix(none).count() == 0
-    out = mixing.emit(docs)
-    assert out.columns == [c for c in docs.columns if c != "copy"] + ["copy"]
-    assert out.count() == sum(r["copies"] for r in rows)
+    out = mixing.emit(docs)  # the input's own column copy stays
+    assert out.columns == [*docs.columns, "copy_"]
+    assert out.count() == sum(r["copies"] for r in rows) and {r["copy"] for r in out.collect()} == {"x"}
 
 
 def test_many_sources_without_a_broadcast(spark, docs, monkeypatch):
@@ -226,7 +255,7 @@ def test_pipeline_stages(spark, docs, none, items, tmp_path):
     rows = docs
     for name, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, str(tmp_path))
-        assert set(docs.columns) <= set(rows.columns) | {"copy"}, name
+        assert set(docs.columns) <= set(rows.columns), name
         assert stage(spark, none, str(tmp_path)).count() == 0, name
     assert rows.count() >= 0
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -40,16 +41,27 @@ def md5_fraction(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, one of our own on this machine, if Spark runs
+    on no other."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir()
     return where.rstrip("/")
 
 
+#: Paths of the tables of materialise() that are still there.
+_written: dict[str, None] = {}
+
+
+def written() -> list[str]:
+    return list(_written)
+
+
 def materialise(df: DataFrame, what: str, *, release: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and computes it once.
 
@@ -57,6 +69,7 @@ def materialise(df: DataFrame, what: str, *, release: bool = False) -> DataFrame
     which a large driver seldom does by itself; this asks for it.
     """
     path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
+    _written[path] = None
     df.write.parquet(path)
     if release:
         gc.collect()
@@ -70,9 +83,15 @@ def discard(df: DataFrame) -> None:
     """Delete a table of materialise() that no later plan reads."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        discard_paths(df.sparkSession, [path])
+
+
+def discard_paths(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        target.getFileSystem(conf).delete(target, True)
+        _written.pop(path, None)
 
 
 def join_lookup(left: DataFrame, lookup: DataFrame, keys: list[str], rows: int, spread: Column, limit: int = 200_000, salts: int = 64) -> DataFrame:

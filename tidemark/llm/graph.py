@@ -27,4 +27,6 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         labels = new
         if not labels.filter("moved").limit(1).count():
             discard(both)
-            return labels.select("node", "label")
+            out = labels.select("node", "label")
+            out._tidemark_path = labels._tidemark_path
+            return out

@@ -14,8 +14,8 @@ against BLOCK, so no link between different texts is lost and no task holds a wh
 A pair at a similarity of 0.8 misses all bands with probability (1 - 0.8**5)**28 = 1.5e-5, and less above.
 
 Defined results: null and empty texts, and texts without a word, have no shingle, are linked with nothing and are kept; a text of
-fewer words than a shingle has its whole sequence as one; rows with a null id are linked with nothing and are kept; repeated
-rows have one node; an empty table gives no rows.
+fewer words than a shingle has its whole sequence as one; rows with a null id are linked with nothing and are kept; rows with one
+id are one document, which is near what any of their texts is near; an empty table gives no rows. Long texts are read in pieces of 4 MB.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import discard, materialise, table
 from tidemark.llm.graph import components
 from tidemark.llm.packed import Vocabulary, mix, pack_sorted, portions, unpack_sorted
 
@@ -199,16 +199,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("key", "b")
     stars = materialise(bands.join(hubs, on="key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "near-stars")
 
-    clusters = components(stars, "near-clusters").select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
+    clustered = components(stars, "near-clusters")
+    clusters = clustered.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
     ids = clusters.select("doc_id")
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     full = rows.join(ids, on="doc_id", how="left_semi").mapInArrow(_full(shingle), "doc_id long, sig binary, keys binary")
-    full = materialise(full, "near-candidates").dropDuplicates(["doc_id", "sig"])
+    candidates = materialise(full, "near-candidates")
+    full = candidates.dropDuplicates(["doc_id", "sig"])
 
     side = lambda c: full.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("keys").alias(f"keys_{c}"))
     pairs = stars.join(side("a"), on="a").join(side("b"), on="b")
     links = materialise(pairs.mapInArrow(_verify(percent), "a long, b long"), "near-links")
-    labels = components(links, "near-labels").select(F.col("node").alias("doc_id"), "label")
+    labelled = components(links, "near-labels")
+    labels = labelled.select(F.col("node").alias("doc_id"), "label")
 
     members = clusters.join(labels, on="doc_id", how="left").select("doc_id", "cluster", F.coalesce("label", "doc_id").alias("label"))
     members = materialise(members, "near-members")
@@ -225,19 +228,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = grid.groupBy("cluster", "of", "asks").applyInArrow(_rest(percent), "a long, b long")
     more = materialise(more, "near-more-links")
     if more.limit(1).count():
-        labels = components(links.unionByName(more), "near-labels").select(F.col("node").alias("doc_id"), "label")
+        discard(labelled)
+        labelled = components(links.unionByName(more), "near-labels")
+        labels = labelled.select(F.col("node").alias("doc_id"), "label")
 
     classes = classes.join(labels.withColumnRenamed("doc_id", "rep"), on="rep", how="left").select("digest", F.coalesce("label", "rep").alias("component"))
-    classes = materialise(classes, "near-classes")  # a join of two plain shuffles, of which Spark can split a hot class
+    classes = materialise(classes, "near-classes")
+    for x in (stars, clustered, candidates, labelled, links, members, more):
+        discard(x)
+    # a join of two plain shuffles, of which Spark can split a hot class
     out = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, on="digest", how="left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs with one document of each group of near duplicates: the one with the smallest id."""
+    """docs with one document of each group of near duplicates: the one with the smallest id. Of rows with one id and text, one stays;
+    rows without an id and rows with one id and different texts that no smaller id is near all stay."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, on=docs[id_col] == gone["_gone"], how="left_anti")
+    out = docs.join(gone, on=docs[id_col] == gone["_gone"], how="left_anti")
+    again = docs.groupBy(docs[id_col].alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND _again IS NOT NULL").select("_again")
+    if not again.limit(1).count():
+        return out
+    again = materialise(again, "near-again")
+    repeated = out[id_col] == again["_again"]
+    return out.join(again, on=repeated, how="left_anti").unionByName(out.join(again, on=repeated, how="left_semi").dropDuplicates([id_col, text_col]))
 
 
 SQL = r"""
