@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, line_dedup, mixing, near_dedup
-from tidemark.llm.common import READ, materialise, table
+from tidemark.llm.common import READ, discard_paths, materialise, table, written
 
 
 def _plain_reads(spark: SparkSession) -> None:
@@ -23,7 +23,7 @@ def _plain_reads(spark: SparkSession) -> None:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from those that have a label."""
     _plain_reads(spark)
-    return langid.keep_identified(docs, langid.fit(docs, spread=F.xxhash64("doc_id")))
+    return langid.keep_identified(docs, langid.fit(docs))
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +59,15 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The chain and its language stage have no SQL. tests/llm tests the operators, the texts that line dedup leaves and the ids that two stages keep;
-#: the rows of run() are not held against brute force.
+#: The chain and its language stage have no SQL; tests/llm holds the rows of run() against plain Python on a small fixture.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of what the stages keep. A stage's own tables, and its input, are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = {*written()} - {getattr(docs, "_tidemark_path", None)}
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), release=True)
+        discard_paths(spark, [x for x in written() if x not in before and x != docs._tidemark_path])
     return STAGES[-1][1](spark, docs, sf_dir)
