@@ -7,7 +7,7 @@ matches it. Every line that has a word is compared. Sets so small that a word mo
 
 Lines of equal sets (128-bit digests) are one class, represented by its first line; the others of it go. Classes are compared by a
 prefix join: words are ordered by rarity, and two sets that match share one of the first n - ceil(t n) + 1 words of each. Of two
-entries of a word, the lengths, the positions and a 64-bit parity bitmap (whose distance is at most that of the sets) must admit a
+entries of a word, the lengths, the positions and a parity bitmap (whose distance is at most that of the sets) must admit a
 match. Of the earlier lines that a line may match, a list of entries hands on a few, which are verified on the words themselves; lines
 that match none of these, though a list had more, are joined again, and then all that is admitted is verified.
 
@@ -48,7 +48,8 @@ HANDED = 8
 #: The entries that a task gathers before it sends them; entries up to which lists are compared step by step.
 SEND = 1_000_000
 SHORT_LIST = 512
-#: Words of a bitmap in the second join, where lists have more that look alike.
+#: 64-bit words of an entry's bitmap, and in the second join, where lists have more that look alike.
+NARROW = 2
 WIDE = 4
 #: Bits of word hashes that tell which lists a second join needs, and how many such words may be told (4 bytes each); beyond, all lists are joined.
 HEARD_BITS = 24
@@ -253,7 +254,7 @@ def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, aga
             yield rows(_send(every, 0, shards), ["digest", "doc", "tie", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, entries, every, held, wide = Hasher(), [], [], 0, WIDE if again else 1
+        hasher, entries, every, held, wide = Hasher(), [], [], 0, WIDE if again else NARROW
         heard = None if words is None else np.zeros(1 << HEARD_BITS, bool)
         if heard is not None:
             heard[words] = True
@@ -264,7 +265,7 @@ def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, aga
             stirred = mix(lines.word, lines.word)
             digest = lines.fold(np.add, stirred)
             bit, part = np.uint64(1) << (stirred >> np.uint64(58)), stirred >> np.uint64(32) & np.uint64(wide - 1)
-            bitmap = np.stack([lines.fold(np.bitwise_xor, np.where(part == w, bit, np.uint64(0))) for w in range(wide)], axis=1) if wide > 1 else lines.fold(np.bitwise_xor, bit)
+            bitmap = np.stack([lines.fold(np.bitwise_xor, np.where(part == w, bit, np.uint64(0))) for w in range(wide)], axis=1)
             at = lines.full
             if not again:
                 second = lines.fold(np.add, mix(stirred, lines.word))
@@ -333,7 +334,7 @@ class _Entries:
         order = order[np.argsort(of << np.uint64(36) | np.minimum(size, 65_535)[order].astype(np.uint64) << np.uint64(20) | digest[order] >> np.uint64(44))]
         new = np.ones(len(order), bool)
         new[1:] = False
-        for x in (key, size, digest, bits[:, 0]):
+        for x in (key, size, digest, *bits.T):
             x = x[order]
             new[1:] |= x[1:] != x[:-1]
         starts = np.flatnonzero(new)
@@ -435,16 +436,27 @@ def _join(percent: int, again: bool):
     return run
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tie, text, wanted lines) -> (doc_id, tie, line, keys): their sets."""
-    for batch in portions(batches):
-        out = []
-        for doc, tie, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text", "wanted"))):
-            lines = (text or b"").split(b"\n")
-            for k in wanted:
-                words = set(lines[k].lower().split())
-                out.append((doc, tie, k, pack_sorted(np.sort(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))))
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "tie", "line", "keys"])
+def _wanted(keys: bool):
+    """(doc_id, tie, text, wanted lines) -> (doc_id, tie, line, size, wide, keys): the sizes of their sets and parity bitmaps of them, or
+    the sets themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            out = []
+            for doc, tie, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text", "wanted"))):
+                lines = (text or b"").split(b"\n")
+                for k in wanted:
+                    words = set(lines[k].lower().split())
+                    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                    if keys:
+                        out.append((doc, tie, k, None, None, pack_sorted(np.sort(hashes))))
+                    else:
+                        odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+                        out.append((doc, tie, k, len(words), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), None))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=["doc_id", "tie", "line", "size", "wide", "keys"])
+
+    return run
 
 
 def match(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -466,48 +478,64 @@ def _verify(percent: int):
     return run
 
 
-def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, tie, line, keys of all lines in pairs."""
-    partners = pairs.select(F.col("of_doc").alias("doc_id"), F.col("of_tie").alias("tie"), F.col("of_line").alias("line"))
+_PARTNER = dict(zip(_PLACE, ("of_doc", "of_tie", "of_line")))
+
+
+def _sets(rows: DataFrame, pairs: DataFrame, keys: bool, repeated: bool) -> DataFrame:
+    """doc_id, tie, line of all lines in pairs, and keys, or size and wide."""
+    partners = pairs.select(*[F.col(o).alias(c) for c, o in _PARTNER.items()])
     wanted = pairs.select(*_PLACE).union(partners).groupBy(*_KEY).agg(F.collect_set("line").alias("wanted"))
     wanted = materialise(wanted, "line-wanted")
     ids = F.broadcast(wanted) if wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else wanted
     sets = rows.join(ids, on=_KEY).select(*_KEY, "text", "wanted")
-    out = materialise(sets.mapInArrow(_wanted, "doc_id long, tie long, line int, keys binary"), "line-sets", release=True)
+    sets = sets.mapInArrow(_wanted(keys), "doc_id long, tie long, line int, size int, wide array<long>, keys binary")
+    out = materialise(sets.dropDuplicates(_PLACE) if repeated else sets, "line-sets", release=True)
     discard(wanted)
     return out
 
 
+def _likely(rows: DataFrame, pairs: DataFrame, percent: int, repeated: bool) -> DataFrame:
+    """The pairs that wide bitmaps admit, whose distance is at most that of the sets, and `far`, that distance."""
+    lean = _sets(rows, pairs, False, repeated)
+    other = lean.select(*[F.col(c).alias(o) for c, o in _PARTNER.items()], F.col("size").alias("of_size"), F.col("wide").alias("of_wide"))
+    both = pairs.select(*_PLACE, *_PARTNER.values(), "more").join(lean.select(*_PLACE, "size", "wide"), on=_PLACE).join(other, on=list(_PARTNER.values()))
+    far = sum((F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("of_wide")[i])) for i in range(8)), F.lit(0))
+    least = F.ceil(percent * (F.col("size") + F.col("of_size")) / F.lit(100 + percent))
+    both = both.filter(F.col("size") + F.col("of_size") - far >= 2 * least)
+    out = materialise(both.groupBy(*_PLACE, *_PARTNER.values()).agg(F.min(far).alias("far"), F.max("more").alias("more")), "line-likely", release=True)
+    discard(lean)
+    return out
+
+
 def _matched(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """doc_id, tie, line of the lines of pairs that match a partner, on the words themselves."""
-    once = sets.dropDuplicates(_PLACE)  # repeated rows
-    other = once.select(*[F.col(c).alias(o) for c, o in zip((*_PLACE, "keys"), ("of_doc", "of_tie", "of_line", "of_keys"))])
-    both = pairs.select(*_PLACE, "of_doc", "of_tie", "of_line").distinct().join(once, on=_PLACE).join(other, on=["of_doc", "of_tie", "of_line"])
+    other = sets.select(*[F.col(c).alias(o) for c, o in _PARTNER.items()], F.col("keys").alias("of_keys"))
+    both = pairs.join(sets.select(*_PLACE, "keys"), on=_PLACE).join(other, on=list(_PARTNER.values()))
     return materialise(both.select(*_PLACE, "keys", "of_keys").mapInArrow(_verify(percent), "doc_id long, tie long, line int").distinct(), "line-matched", release=True)
 
 
 def _open(pairs: DataFrame, matched: DataFrame) -> DataFrame:
-    return materialise(pairs.join(matched, on=_PLACE, how="left_anti"), "line-open")
+    return pairs.join(matched, on=_PLACE, how="left_anti")
 
 
-def _tie(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """Tells rows apart that have one id and different texts; 0 where no id repeats."""
-    repeated = docs.select(F.col(id_col).cast("bigint").alias("i")).filter("i IS NOT NULL").groupBy("i").count().filter("count > 1").limit(1).count()
-    return (F.xxhash64(text_col) if repeated else F.lit(0)).cast("bigint")
+def _tie(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, bool]:
+    """What tells rows apart that have one id and different texts (0 where no id repeats), and whether any id repeats."""
+    repeated = docs.select(F.col(id_col).cast("bigint").alias("i")).filter("i IS NOT NULL").groupBy("i").count().filter("count > 1").limit(1).count() > 0
+    return (F.xxhash64(text_col) if repeated else F.lit(0)).cast("bigint"), repeated
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, removed: of each row, the numbers (from 0, ascending) of the lines that go."""
-    tie = _tie(docs, id_col, text_col)
-    gone = _gone(docs, tie, id_col, text_col, percent)
+    tie, gone = _gone(docs, id_col, text_col, percent)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tie.alias("tie"), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"))
     none = F.array().cast("array<int>")
     return rows.join(gone, on=_KEY, how="left").select("doc_id", "n_lines", F.coalesce("removed", none).alias("removed"))
 
 
-def _gone(docs: DataFrame, tie: Column, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, tie, removed of the documents that lose lines."""
+def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Column, DataFrame]:
+    """What tells rows of one id apart, and doc_id, tie, removed of the documents that lose lines."""
+    tie, repeated = _tie(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tie.alias("tie"), F.col(text_col).cast("binary").alias("text")).filter("doc_id IS NOT NULL")
     rarity, groups = _rarity(rows, percent)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -520,35 +548,34 @@ def _gone(docs: DataFrame, tie: Column, id_col: str, text_col: str, percent: int
 
     found = candidates(rows.withColumn("asks", F.lit(None).cast("array<int>")), False)
     pairs = found.filter("of_doc IS NOT NULL")
-    sets = _sets(rows, pairs)
+    likely = _likely(rows, pairs, percent, repeated)
+    sets = _sets(rows, likely, True, repeated)
     # one partner of each line first, then all that were handed on, then, of lines that are still open, all that lists have
-    nearest = pairs.groupBy(*_PLACE).agg(F.min(F.struct("far", "of_doc", "of_tie", "of_line")).alias("x")).select(*_PLACE, "x.of_doc", "x.of_tie", "x.of_line")
+    nearest = likely.groupBy(*_PLACE).agg(F.min(F.struct("far", *_PARTNER.values())).alias("x")).select(*_PLACE, *[f"x.{c}" for c in _PARTNER.values()])
     matched = _matched(sets, nearest, percent)
-    left = _open(pairs, matched)
-    more = _matched(sets, left, percent)
-    last = _open(left.filter("more").select(*_PLACE).distinct(), more)
-    discard(sets)
+    more = _matched(sets, _open(likely, matched).select(*_PLACE, *_PARTNER.values()), percent)
     gone = found.filter("of_doc IS NULL").select(*_PLACE).union(matched).union(more)
-    used = [found, matched, left, more, last]
+    last = materialise(_open(pairs.filter("more").select(*_PLACE).distinct(), matched.union(more)), "line-open")
+    used = [found, likely, sets, matched, more, last]
     if last.limit(1).count():
         asks = last.groupBy(*_KEY).agg(F.collect_set("line").alias("asks"))
         asks = F.broadcast(asks) if last.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else asks
         words = rows.join(asks, on=_KEY).select("text", "asks").mapInArrow(_hear(percent, rarity), "word int").distinct().limit(HEARD + 1)
         words = words.toArrow().column("word").to_numpy()
         again = candidates(rows.join(asks, on=_KEY, how="left"), True, words if len(words) <= HEARD else None)
-        sets = _sets(rows, again)
-        used += [again, sets, _matched(sets, again, percent)]
+        likely = _likely(rows, again, percent, repeated)
+        sets = _sets(rows, likely, True, repeated)
+        used += [again, likely, sets, _matched(sets, likely, percent)]
         gone = gone.union(used[-1])
     out = materialise(gone.groupBy(*_KEY).agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-gone", release=True)
     for x in used:
         discard(x)
-    return out
+    return tie, out
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the lines that match a line before them; documents of which no word is left go as a whole."""
-    tie = _tie(docs, id_col, text_col)
-    gone = _gone(docs, tie, id_col, text_col, percent)
+    tie, gone = _gone(docs, id_col, text_col, percent)
     if (gone.agg(F.sum(F.size("removed") + 4)).first()[0] or 0) <= BROADCAST_NUMBERS:
         gone = F.broadcast(gone)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("doc_id"), tie.alias("tie"), docs[text_col].alias("text"))
