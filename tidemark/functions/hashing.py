@@ -16,10 +16,11 @@ def seeded_md5(data: Column, seed: Column) -> Column:
     return F.md5(F.concat(data.cast("binary"), F.unhex(seed)))
 
 
-def unsigned_mod(digest: Column, m: int) -> Column:
+def unsigned_mod(digest: Column, m: int | Column) -> Column:
     """The first 8 bytes of a hex digest as an unsigned number, modulo m (below 2**31), by 32-bit halves."""
+    m = F.lit(m).cast("bigint")
     half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
-    return ((half(1) % m) * ((1 << 32) % m) + half(9) % m) % m
+    return ((half(1) % m) * (F.lit(1 << 32) % m) + half(9) % m) % m
 
 
 def bit_text(hex_text: Column) -> Column:
