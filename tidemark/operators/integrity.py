@@ -32,27 +32,30 @@ def bad_records(log: DataFrame, stored: DataFrame) -> DataFrame:
     return record_crc(log).join(stored.select("seq", F.col("record_crc").alias("_stored")), on="seq").filter("record_crc <> _stored").select("seq", "key")
 
 
-def merkle_levels(leaves: DataFrame, order: str, data: Column, height: int) -> DataFrame:
-    """The root, from leaves in the order of a column. height: of the tree; positions beyond the leaves hold the digest of
-    nothing, and whole empty subtrees their known digest, so no padding rows are made."""
-    at = Window.orderBy(order)
-    nodes = leaves.select((F.row_number().over(at) - 1).cast("bigint").alias("p"), F.sha1(data.cast("binary")).alias("h"))
+def merkle_roots(leaves: DataFrame, by: list[str], order: str, data: Column) -> DataFrame:
+    """by, root of each group: hex SHA-1 over its leaves in the order of a column, padded to a power of two with the empty text.
+    Positions beyond the leaves hold the digest of nothing, and whole empty subtrees their known digest, so no padding rows are made.
+
+    A group's leaves get their places from one sort. For a group too large for that, take the parts' roots as leaves.
+    """
+    place = Window.partitionBy(*by).orderBy(order)
+    whole = Window.partitionBy(*by)
+    nodes = leaves.select(*by, (F.row_number().over(place) - 1).cast("bigint").alias("p"), F.count(F.lit(1)).over(whole).alias("_n"), F.sha1(data.cast("binary")).alias("h"))
+    nodes = nodes.withColumn("height", F.when(F.col("_n") > 1, F.length(F.bin(F.col("_n") - 1))).otherwise(0)).drop("_n")
+    most = leaves.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     empty = hashlib.sha1(b"").hexdigest()
-    for _ in range(height):
-        side = lambda s: F.max(F.when(F.col("p") % 2 == s, F.col("h")))
-        pairs = nodes.groupBy(F.floor(F.col("p") / 2).cast("bigint").alias("q")).agg(side(0).alias("l"), F.coalesce(side(1), F.lit(empty)).alias("r"))
-        nodes = pairs.select(F.col("q").alias("p"), F.sha1(F.concat(F.unhex("l"), F.unhex("r"))).alias("h"))
+    for step in range((most - 1).bit_length() if most else 0):
+        open_ = F.col("height") > step
+        side = lambda s, p=F.col("p"): F.max(F.when(p % 2 == s, F.col("h")))
+        pairs = nodes.groupBy(*by, "height", F.floor(F.col("p") / 2).cast("bigint").alias("q")).agg(side(0).alias("l"), side(1).alias("r"))
+        both = F.sha1(F.concat(F.unhex("l"), F.unhex(F.coalesce("r", F.lit(empty)))))
+        nodes = pairs.select(*by, "height", F.col("q").alias("p"), F.when(open_, both).otherwise(F.col("l")).alias("h"))
         empty = hashlib.sha1(bytes.fromhex(empty) * 2).hexdigest()
-    return nodes.select(F.col("h").alias("root"))
+    return nodes.select(*by, F.col("h").alias("root"))
 
 
 def merkle_root(leaves: DataFrame, order: str, data: Column) -> DataFrame:
-    """One row, root: hex SHA-1 over the leaves, padded to a power of two with the empty text; null of no leaf.
-
-    The leaves' places come from one sort; this is for a run's keys or files. For a table too large for that, take
-    merkle_levels of the parts' roots.
-    """
-    n = leaves.count()
-    if n == 0:
-        return leaves.sparkSession.range(1).select(F.lit(None).cast("string").alias("root"))
-    return merkle_levels(leaves, order, data, (n - 1).bit_length())
+    """One row, root, of a table's leaves; null of no leaf."""
+    one = leaves.sparkSession.range(1).select(F.lit(0).alias("_all"))
+    roots = merkle_roots(leaves.withColumn("_all", F.lit(0)), ["_all"], order, data)
+    return one.join(roots, on="_all", how="left").select("root")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
 from tidemark.sources.log import latest, run_of
+from tidemark.sources.tables import written
 
 
 def flush(log: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -49,17 +50,27 @@ def prune_prefix(runs: DataFrame, prefix: str) -> DataFrame:
     return ranges(runs).filter((F.col("stop") >= prefix) & (after | F.col("start").startswith(prefix)))
 
 
-def with_level(runs: DataFrame, per_level: int, config: Config = DEFAULT) -> DataFrame:
-    """Deal runs to levels by age: the newest `per_level` to level 0, and so on; what is older stays in the last level."""
+#: Tenths of the runs, by age, at which the levels after level 0 begin.
+LEVEL_TENTHS = (1, 3, 6)
+
+
+def with_level(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Deal runs to levels by age: the newest tenth to level 0, the next two to level 1, the next three to level 2, the others to level 3, as
+    far as there are levels. This is for logs that carry no levels; those of a store are in its manifest."""
     newest = runs.agg(F.max("run").alias("newest"))
-    age = F.floor((F.col("newest") - F.col("run")) / per_level)
-    return runs.crossJoin(F.broadcast(newest)).withColumn("level", F.least(age, F.lit(config.lsm_levels - 1)).cast("bigint")).drop("newest")
+    tenth = F.floor((F.col("newest") - F.col("run")) * 10 / (F.col("newest") + 1))
+    level = sum(((tenth >= x).cast("bigint") for x in LEVEL_TENTHS), F.lit(0).cast("bigint"))
+    return runs.crossJoin(F.broadcast(newest)).withColumn("level", F.least(level, F.lit(config.lsm_levels - 1)).cast("bigint")).drop("newest")
 
 
 def read_order(runs: DataFrame) -> DataFrame:
-    """The order in which a read visits runs: levels up, newest run first."""
+    """The order in which a read visits runs: levels up, newest run first. The ranks are taken in each level and follow on the sizes of
+    the levels before it, which are few."""
     each = runs.select("level", "run").distinct()
-    return each.withColumn("visit", F.row_number().over(Window.orderBy("level", F.desc("run"))).cast("bigint"))
+    ahead = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.groupBy("level").agg(F.count("*").alias("_n")).select("level", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    visit = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("run"))) + F.col("_before")
+    return each.join(F.broadcast(before), on="level").select("level", "run", visit.cast("bigint").alias("visit"))
 
 
 def merge(*runs: DataFrame) -> DataFrame:
@@ -70,25 +81,29 @@ def merge(*runs: DataFrame) -> DataFrame:
     return latest(out)
 
 
-def chunks(merged: DataFrame, config: Config = DEFAULT, range_chars: int = 4) -> DataFrame:
+def merge_neighbours(runs: DataFrame) -> DataFrame:
+    """Every two neighbouring runs as one: pair, and the newest versions of its keys."""
+    return latest(runs.withColumn("pair", F.floor(F.col("run") / 2).cast("bigint")), "pair")
+
+
+def chunks(merged: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Cut a merged run into output runs of sstable_size keys.
 
-    Ranks are taken inside key ranges (keys with the same first range_chars characters), and the ranges' sizes are added up, so no
-    task sees the whole. Take enough characters that a range fits a task, and not so many that the ranges are as many as the keys.
+    The rows are written once, by ranges of keys that Spark samples; ranks are taken inside the ranges, and the ranges' sizes, of which
+    there are as many as partitions, are added up. No task sees more than a range, whatever the keys look like.
     """
-    key_range = F.substring("key", 1, range_chars)
-    inside = Window.partitionBy("_range").orderBy("key")
+    placed = written(merged.repartitionByRange("key").withColumn("_range", F.spark_partition_id()), "chunks")
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    rows = merged.withColumn("_range", key_range)
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    rank = F.col("_ahead") + F.row_number().over(inside) - 1
-    return rows.join(sizes, on="_range").withColumn("chunk", F.floor(rank / config.sstable_size).cast("bigint")).drop("_range", "_ahead")
+    rank = F.col("_ahead") + F.row_number().over(Window.partitionBy("_range").orderBy("key")) - 1
+    return placed.join(sizes, on="_range").withColumn("chunk", F.floor(rank / config.sstable_size).cast("bigint")).drop("_range", "_ahead")
 
 
-def size_tiered(runs: DataFrame, level: int) -> DataFrame:
-    """All runs of a level as one run of the next."""
-    return latest(runs.filter(F.col("level") == level)).withColumn("level", F.lit(level + 1).cast("bigint"))
+def size_tiered(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The runs of each level but the last as one run of the next."""
+    merged = latest(runs.filter(F.col("level") < config.lsm_levels - 1), "level")
+    return merged.withColumn("level", (F.col("level") + 1).cast("bigint"))
 
 
 def triggers(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -99,11 +114,14 @@ def triggers(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return counts.select("level", "runs", (F.col("runs") >= config.lsm_max_per_level).alias("size_tiered_due"), (F.col("runs") > limits).alias("leveled_due"))
 
 
+def overlap_of(ranges_: DataFrame) -> DataFrame:
+    """Pairs of runs of neighbouring levels whose key ranges meet, from a row a run: level, run, start, stop. level is an equi-join key."""
+    below = ranges_.select((F.col("level") - 1).alias("level"), F.col("run").alias("below"), F.col("start").alias("start_b"), F.col("stop").alias("stop_b"))
+    return ranges_.join(below, on="level").filter((F.col("start") <= F.col("stop_b")) & (F.col("stop") >= F.col("start_b"))).select("level", "run", "below")
+
+
 def overlap(runs: DataFrame) -> DataFrame:
-    """Pairs of runs of neighbouring levels whose key ranges meet. There is one row a run, not a key, and level is an equi-join key."""
-    r = ranges(runs, "level", "run")
-    below = r.select((F.col("level") - 1).alias("level"), F.col("run").alias("below"), F.col("start").alias("start_b"), F.col("stop").alias("stop_b"))
-    return r.join(below, on="level").filter((F.col("start") <= F.col("stop_b")) & (F.col("stop") >= F.col("start_b"))).select("level", "run", "below")
+    return overlap_of(ranges(runs, "level", "run"))
 
 
 def leveled_zero(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -111,11 +129,13 @@ def leveled_zero(runs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return chunks(latest(runs.filter("level <= 1")).drop("level", "run"), config).withColumn("level", F.lit(1).cast("bigint"))
 
 
-def leveled_down(runs: DataFrame, level: int, config: Config = DEFAULT) -> DataFrame:
-    """The runs of a level, moved down: merged with those runs of the next level that overlap one of them, cut anew."""
-    hit = overlap(runs).filter(F.col("level") == level).select(F.col("below").alias("run")).distinct()
-    down = runs.filter(F.col("level") == level + 1).join(F.broadcast(hit), on="run", how="left_semi")
-    both = runs.filter(F.col("level") == level).unionByName(down.select(*runs.columns))
+def leveled_down(runs: DataFrame, level: int, config: Config = DEFAULT, manifest: DataFrame | None = None) -> DataFrame:
+    """The runs of a level, moved down: merged with those runs of the next level that overlap one of them, cut anew. manifest: level, run,
+    start, stop of the runs, where they are known."""
+    known = ranges(runs, "level", "run") if manifest is None else manifest
+    hit = overlap_of(known.filter(F.col("level").between(level, level + 1))).select(F.col("below").alias("run")).distinct()
+    hit = hit.select(F.lit(level + 1).cast("bigint").alias("level"), "run").unionByName(known.filter(F.col("level") == level).select("level", "run"))
+    both = runs.filter(F.col("level").between(level, level + 1)).join(hit, on=["level", "run"], how="left_semi")
     return chunks(latest(both).drop("level", "run"), config).withColumn("level", F.lit(level + 1).cast("bigint"))
 
 

@@ -51,6 +51,11 @@ def live(log: DataFrame) -> DataFrame:
     return latest(log).filter("tombstone = 0")
 
 
+def remove_keys(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The log without any version of the keys: unlike a delete, nothing is left to hide them."""
+    return log.join(keys.select("key").distinct(), on="key", how="left_anti")
+
+
 def append(log: DataFrame, path: str) -> None:
     """Append a batch of the log; the rows of a file are sorted by key."""
     log.select(*COLUMNS).sortWithinPartitions("key", "ts", "seq").write.mode("append").parquet(path)
