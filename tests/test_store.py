@@ -1,5 +1,6 @@
 """Properties of the store's operators, and hand vectors."""
 
+import hashlib
 import random
 import zlib
 
@@ -10,7 +11,8 @@ from tidemark.config import Config
 from tidemark.functions import hashing, text
 from tidemark.operators import integrity, runs, scan, sketch, stateful
 from tidemark.sources import log as logs
-from tidemark.sources import wal
+from tidemark.sources import sketches, tables, wal
+from tidemark.sources.runstore import RunStore
 from tidemark.streaming import ingest
 
 SCHEMA = "key string, value string, tombstone tinyint, ts bigint, seq bigint"
@@ -76,7 +78,7 @@ def test_empty_log(spark, tmp_path):
 
 def test_compaction_keeps_the_newest_version(log):
     config = Config(run_size=50, sstable_size=7)
-    flushed = runs.with_level(runs.flush(log, config), 2, config)
+    flushed = runs.with_level(runs.flush(log, config), config)
     want = {r["key"]: (r["ts"], r["seq"]) for r in logs.latest(log).collect()}
     merged = runs.merge(*[flushed.filter(F.col("run") == r).drop("level", "run") for r in range(12)])
     assert {r["key"]: (r["ts"], r["seq"]) for r in merged.collect()} == want
@@ -87,6 +89,91 @@ def test_compaction_keeps_the_newest_version(log):
     assert {r["run"] for r in runs.prune(flushed, "k010", "k012").collect()} == {r for r, (a, b) in ends.items() if a <= "k012" and b >= "k010"}
 
 
+def test_store_of_runs(spark, tmp_path):
+    """Flushes, compactions by both strategies and reads, against a replay; runs are numbered, retired, and their roots hold."""
+    config = Config(sstable_size=7, lsm_max_per_level=3, leveled_max_runs=(2, 3, 5, 100))
+    rows, want = random_log(400, 30), {}
+    for strategy in ("size-tiered", "leveled"):
+        store = RunStore(spark, str(tmp_path / strategy), config)
+        assert store.get(["k000"]).first()["value"] is None and store.range_scan("", "z").count() == 0
+        for at in range(0, 400, 100):
+            store.flush(spark.createDataFrame(rows[at : at + 100], SCHEMA))
+            store.compact(strategy)
+            want = {k: v for k, v in replay(rows[: at + 100]).items() if v is not None}
+            assert pairs(store.range_scan("", "z")) == want
+        known = {(r["level"], r["run"]): r for r in store.manifest().collect()}
+        folders = {(int(x[6:]), int(y[4:])) for x in tables.children(spark, store.path) if x.startswith("level=") for y in tables.children(spark, f"{store.path}/{x}")}
+        assert set(known) == folders and {x for x, _ in known} != {0}
+        assert pairs(store.get(["k001", "k002", "nope"])) == {k: want.get(k) for k in ("k001", "k002", "nope")}
+        assert pairs(store.prefix_scan("k01")) == {k: v for k, v in want.items() if k.startswith("k01")}
+        assert store.bad_runs().count() == 0
+        first = store.manifest().limit(1)
+        assert store.rows(first).select("level", "run").distinct().count() == 1
+    assert all(r["n"] <= 7 for (level, _), r in known.items() if level)
+    with pytest.raises(ValueError):
+        store.compact("none")
+
+
+def test_merkle_roots_of_groups(spark):
+    """Groups of every size up to nine leaves, against hashlib."""
+    rows = [(n, i, f"{n}-{i}") for n in range(1, 10) for i in range(n)]
+    want = {}
+    for n in range(1, 10):
+        level = [hashlib.sha1(f"{n}-{i}".encode()).digest() for i in range(n)]
+        level += [hashlib.sha1(b"").digest()] * ((1 << (n - 1).bit_length()) - n)
+        while len(level) > 1:
+            level = [hashlib.sha1(a + b).digest() for a, b in zip(level[::2], level[1::2])]
+        want[n] = level[0].hex()
+    df = spark.createDataFrame(rows, "g int, i int, s string")
+    assert {r["g"]: r["root"] for r in integrity.merkle_roots(df, ["g"], "i", F.col("s")).collect()} == want
+
+
+def test_stored_sketches(spark, tmp_path):
+    at = str(tmp_path / "sketches")
+    words = spark.createDataFrame([("a" if i % 3 else "b", f"w{i % 50}") for i in range(300)] + [("nobody", "w"), (None, "w"), ("a", None)], "name string, w string")
+    assert sketches.estimate(spark, at).count() == 0
+    sketches.compact(spark, at)
+    sketches.create(spark, at, "cms", ["a", "b"], *sketches.cms_parameters(0.1, 0.01))
+    sketches.create(spark, at, "hll", ["a"], *sketches.hll_parameters(6))
+    sketches.create(spark, at, "hll", ["b"], *sketches.hll_parameters(4))
+    sketches.create(spark, at, "bf", ["a"], *sketches.sized(words, F.col("w"), 0.01))
+    for kind in ("cms", "hll", "bf"):
+        for part in (words.filter("w < 'w3'"), words.filter("w >= 'w3' OR w IS NULL")):
+            sketches.add(spark, at, kind, part, F.col("name"), F.col("w"))
+
+    def answers():
+        counts = {(r["name"], r["element"]): r["estimate"] for r in sketches.count(spark, at, words, F.col("name"), F.col("w")).collect() if r["element"]}
+        return counts, {r["name"]: r["estimate"] for r in sketches.estimate(spark, at).collect()}, [r["found"] for r in sketches.find(spark, at, words.filter("name = 'a' AND w IS NOT NULL"), F.col("name"), F.col("w")).collect()]
+
+    counts, estimates, found = answers()
+    for name in "ab":
+        one = words.filter(f"name = '{name}' AND w IS NOT NULL")
+        m, k = sketches.cms_parameters(0.1, 0.01)
+        assert {e: n for (x, e), n in counts.items() if x == name} == {r["w"]: r["estimate"] for r in sketch.cms_count(sketch.cms(one, F.col("w"), m, k), one, "w", m, k).collect()}
+        p = {"a": 6, "b": 4}[name]
+        assert estimates[name] == pytest.approx(sketch.hll_estimate(sketch.hll(one, F.col("w"), p), p).first()["estimate"])
+    assert all(found) and "nobody" not in estimates
+    sketches.compact(spark, at)
+    assert answers() == (counts, estimates, found)
+    sketches.create(spark, at, "hll", ["a"], *sketches.hll_parameters(6))  # anew, and empty
+    assert {r["name"]: r["estimate"] for r in sketches.estimate(spark, at).collect()} == {"a": 0.0, "b": estimates["b"]}
+    sketches.create(spark, at, "sh", ["narrow"], *sketches.simhash_parameters(16))
+    df = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs.")], "id int, a string, b string")
+    assert sketches.compare(spark, at, "narrow", df, "id", "a", "b").first()["distance"] == 6
+    assert sketches.compare(spark, at, "missing", df, "id", "a", "b").first()["distance"] is None
+    for bad in (lambda: sketches.create(spark, at, "x", ["a"], 1, 1), lambda: sketches.add(spark, at, "sh", words, F.col("name"), F.col("w")), lambda: sketches.hll_parameters(3)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_filters_have_their_rate(spark):
+    """A filter that is sized by its elements lets about one in a hundred others through."""
+    rows = spark.range(3000).select(F.concat(F.lit("n"), F.col("id")).alias("w"))
+    m, k = sketches.sized(rows, F.col("w"), 0.01)
+    others = spark.range(3000).select(F.concat(F.lit("x"), F.col("id")).alias("w"))
+    assert sketch.bloom_find(sketch.bloom(rows, F.col("w"), m, k), others, "w", m, k).filter("found").count() < 75
+
+
 def test_prefix_pruning_loses_no_run(log):
     flushed = runs.flush(log, Config(run_size=5))
     holds = {r["run"] for r in flushed.filter(F.col("key").startswith("k01")).select("run").distinct().collect()}
@@ -179,6 +266,49 @@ def test_token_bucket(spark):
     assert {r["key"]: r["allowed"] for r in stateful.token_bucket_summary(df, 3, 10).collect()} == {"a": 7, "b": 1}
 
 
+def test_token_bucket_goes_on(spark):
+    """Requests in two parts, the second from the state that the first left, are decided as in one."""
+    rng = random.Random(2)
+    rows = sorted((rng.choice("abc"), rng.randrange(200), i) for i in range(150))
+    df = spark.createDataFrame(rows, "key string, ts long, seq long")
+    whole = sorted(map(tuple, stateful.token_bucket(df, 3, 10).collect()))
+    one, two = df.filter("ts < 90"), df.filter("ts >= 90")
+    state = stateful.token_bucket_state(one, 3, 10)
+    parts = stateful.token_bucket(one, 3, 10).collect() + stateful.token_bucket(two, 3, 10, state).collect()
+    assert sorted(map(tuple, parts)) == whole
+    assert sorted(map(tuple, stateful.token_bucket_state(two, 3, 10, state).collect())) == sorted(map(tuple, stateful.token_bucket_state(df, 3, 10).collect()))
+    asked = df.select(F.col("key").alias("user"), F.when(F.col("seq") % 4 == 0, "bf_x").otherwise("mine").alias("key"), "ts", "seq")
+    got = {r["seq"]: (r["allowed"], r["admitted"]) for r in stateful.admit(asked, logs.reserved(F.col("key")), 3, 10).collect()}
+    assert got == {seq: (ok, ok and seq % 4 != 0) for _, _, seq, ok in whole}
+
+
+def test_lru_deletes_and_lost_places(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "CHUNK_ROWS", 5)
+    rows = [("a", 0, False), ("b", 1, False), ("a", 2, True), ("a", 3, False), ("c", 30, True), ("c", 31, False), ("d", 32, False), ("a", 33, True), ("b", 34, True), ("d", 35, None), ("x", None, False)]
+    got = stateful.lru(spark.createDataFrame(rows, "key string, seq long, deleted boolean"), 2).collect()
+    want = [None, False, False, True, True, False, False, False, False, False, True]
+    assert [r["hit"] for r in sorted(got, key=lambda r: -1 if r["seq"] is None else r["seq"])] == want
+
+
+def test_simhash_radius(spark):
+    rng = random.Random(1)
+    prints = ["".join(rng.choice("01") for _ in range(64)) for _ in range(40)]
+    for base in prints[:20]:
+        flip = list(base)
+        for at in rng.sample(range(64), rng.randrange(6)):
+            flip[at] = "10"[int(flip[at])]
+        prints.append("".join(flip))
+    df = spark.createDataFrame(list(enumerate(prints)), "id long, fingerprint string")
+    heads = {}
+    for i, p in enumerate(prints):
+        heads.setdefault(p, i)
+    far = lambda a, b: sum(x != y for x, y in zip(a, b))
+    want = sorted((min(i, j), max(i, j), far(p, q)) for p, i in heads.items() for q, j in heads.items() if i < j and far(p, q) <= 3)
+    assert sorted(map(tuple, text.near(df, "id", 64, 3).collect())) == want and want
+    null = spark.createDataFrame([(1, None), (2, "")], "id long, t string")
+    assert len({r["fingerprint"] for r in text.fingerprints(null, "id", "t").collect()}) == 1
+
+
 def test_lru_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(stateful, "CHUNK_ROWS", 37)
     rng = random.Random(3)

@@ -2,7 +2,7 @@
 
 Words are what stands between single spaces (empty ones count), after lowering and without , . ? !. A word that occurs c times
 weighs c for each occurrence, so c * c. A word's bits are the bits of the characters of its hex MD5. Bit j of the fingerprint is
-1 if the weights of words with the bit outweigh those without.
+1 if the weights of words with the bit outweigh those without. A null text is an empty one.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ def tokens(text: Column) -> Column:
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    words = texts.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("token"))
+    words = texts.select(F.col(id_col), F.explode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("token"))
     return words.groupBy(id_col, "token").agg(F.count("*").alias("n"))
 
 
@@ -41,3 +41,23 @@ def compare(pairs: DataFrame, id_col: str, first: str, second: str, bits: int =
     one = fingerprints(pairs, id_col, first, bits).withColumnRenamed("fingerprint", "f1")
     two = fingerprints(pairs, id_col, second, bits).withColumnRenamed("fingerprint", "f2")
     return one.join(two, on=id_col).select(id_col, hamming(F.col("f1"), F.col("f2")).cast("bigint").alias("distance"))
+
+
+def near(prints: DataFrame, id_col: str, bits: int, radius: int) -> DataFrame:
+    """first, second, distance: the pairs of different fingerprints (each by its smallest id) that differ in at most `radius` bits.
+
+    Of radius + 1 pieces of such a pair's bits, one is equal in both. Fingerprints are joined on each piece's number and bits and
+    verified; a pair is made by the first piece that it has in common. Equal fingerprints are one row before the join, so copies make no pairs.
+    """
+    if not 0 <= radius < bits:
+        raise ValueError("the radius is less than the bits")
+    cuts = [bits * i // (radius + 1) for i in range(radius + 2)]
+    heads = prints.groupBy("fingerprint").agg(F.min(id_col).alias("id"))
+    pieces = F.array(*[F.substring("fingerprint", a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
+    rows = heads.select("id", "fingerprint", pieces.alias("pieces"))
+    keyed = rows.select("*", F.posexplode("pieces").alias("at", "piece"))
+    other = keyed.select(F.col("id").alias("id_b"), F.col("fingerprint").alias("f_b"), F.col("pieces").alias("p_b"), "at", "piece")
+    pairs = keyed.join(other, on=["at", "piece"]).filter(F.col("id") < F.col("id_b"))
+    same = F.array_position(F.zip_with("pieces", "p_b", lambda x, y: x == y), True)
+    pairs = pairs.filter(same == F.col("at") + 1).withColumn("distance", hamming(F.col("fingerprint"), F.col("f_b")).cast("bigint"))
+    return pairs.filter(F.col("distance") <= radius).select(F.col("id").alias("first"), F.col("id_b").alias("second"), "distance")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.config import DEFAULT
-from tidemark.plans.catalogue import ABSENT, BLOOM_K, BLOOM_M, CMS_K, CMS_M, HEAVY_K, HEAVY_M, KEYS, PER_LEVEL, PREFIX, START, STOP, TOKENS, WINDOW
+from tidemark.plans.catalogue import ABSENT, CMS_K, CMS_M, HASH_M, HEAVY_K, HEAVY_M, KEYS, PREFIX, RADIUS, START, STOP, TOKENS, WINDOW
 
 _LOG = """log AS (SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, event_type AS value, CAST(event_type = 'error' AS INTEGER) AS tombstone,
   CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS seq, event_id // 500 AS run, event_id // 20 + 1 AS segment FROM events)"""
@@ -11,7 +11,8 @@ _LATEST = "latest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY
 _LIVE = "live AS (SELECT key, value, ts, seq FROM latest WHERE tombstone = 0)"
 _RUNS = "runs AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY run, key ORDER BY ts DESC, seq DESC) = 1)"
 _RANGES = "ranges AS (SELECT run, min(key) AS start, max(key) AS stop, count(*) AS n FROM runs GROUP BY run)"
-_LEVELED = f"leveled AS (SELECT *, least(((SELECT max(run) FROM runs) - run) // {PER_LEVEL}, {DEFAULT.lsm_levels - 1}) AS level FROM runs)"
+_AGE = "((SELECT max(run) FROM runs) - run) * 10 // ((SELECT max(run) FROM runs) + 1)"
+_LEVELED = f"leveled AS (SELECT *, CAST(({_AGE} >= 1)::INT + ({_AGE} >= 3)::INT + ({_AGE} >= 6)::INT AS BIGINT) AS level FROM runs)"
 _VERSION = "key, value, tombstone, ts, seq"
 _L = f"WITH {_LOG}, {_LATEST}, {_LIVE}"
 _R = f"WITH {_LOG}, {_RUNS}, {_RANGES}, {_LEVELED}"
@@ -23,23 +24,25 @@ def _values(keys: list[str]) -> str:
     return ", ".join(f"('{k}')" for k in keys)
 
 
-def _hash(element: str, i: str, m: int) -> str:
+def _hash(element: str, i: str, m) -> str:
     seed = f"unhex(printf('%08x', {i}) || repeat('00', 28))"
     return f"CAST(('0x' || substr(md5(encode({element}) || {seed}), 1, 16))::UBIGINT % {m} AS BIGINT)"
 
 
-def _cells(source: str, m: int, k: int) -> str:
+def _cells(source: str, m, k: int) -> str:
     """source: a select of e and what is kept."""
     return f"SELECT x.*, i, {_hash('e', 'i', m)} AS j FROM ({source}) x, range({k}) r(i)"
 
 
 _NAMES = "SELECT c_name AS e FROM customer"
 _PROBES = "SELECT printf('Customer#%09d', c_custkey + 5000000) AS e FROM customer"
-_BITS = f"bits AS (SELECT DISTINCT j AS position FROM ({_cells(_NAMES, BLOOM_M, BLOOM_K)}))"
+# the width for as many elements as there are; at this rate there are seven hashes for any number above two
+_SIZE = "(SELECT CAST(ceil(count(DISTINCT c_name) * abs(ln(0.01)) / (ln(2) * ln(2))) AS UBIGINT) FROM customer)"
+_BITS = f"bits AS (SELECT DISTINCT j AS position FROM ({_cells(_NAMES, _SIZE, 7)}))"
 
 
 def _found(probes: str) -> str:
-    return f"SELECT e AS name, bool_and(position IS NOT NULL) AS found FROM ({_cells(f'SELECT DISTINCT e FROM ({probes})', BLOOM_M, BLOOM_K)}) LEFT JOIN bits ON j = position GROUP BY e"
+    return f"SELECT e AS name, bool_and(position IS NOT NULL) AS found FROM ({_cells(f'SELECT DISTINCT e FROM ({probes})', _SIZE, 7)}) LEFT JOIN bits ON j = position GROUP BY e"
 
 
 _USERS = "SELECT CAST(user_id AS VARCHAR) AS e FROM events"
@@ -68,7 +71,7 @@ def _hll(p: int, by: str = "") -> str:
 
 
 def _tokens(source: str, id_col: str, column: str) -> str:
-    return f"SELECT {id_col}, token, count(*) AS n FROM (SELECT {id_col}, unnest(string_split(translate(lower({column}), ',.?!', ''), ' ')) AS token FROM {source}) GROUP BY ALL"
+    return f"SELECT {id_col}, token, count(*) AS n FROM (SELECT {id_col}, unnest(string_split(translate(lower(coalesce({column}, '')), ',.?!', ''), ' ')) AS token FROM {source}) GROUP BY ALL"
 
 
 def _prints(source: str, id_col: str, column: str, bits: int = 64) -> str:
@@ -89,6 +92,30 @@ f AS (SELECT key, ts, seq, k, {TOKENS - 1} AS tokens, ts AS reset, true AS allow
   FROM f JOIN r ON r.key = f.key AND r.k = f.k + 1)"""
 
 
+
+
+def _eight(number: str) -> str:
+    """A number as eight bytes, lowest first."""
+    return f"unhex(array_to_string(list_reverse(regexp_extract_all(printf('%016x', {number}), '..')), ''))"
+
+
+_RECORD = f"{_eight('ts')} || unhex(printf('%02x', tombstone)) || {_eight('strlen(key)')} || encode(key) || {_eight('strlen(value)')} || encode(value)"
+_EMPTY = ["sha1('')"]
+for _ in range(9):
+    _EMPTY.append(f"sha1(unhex({_EMPTY[-1]}) || unhex({_EMPTY[-1]}))")
+# up to 512 leaves a run
+_TREE = [f"m0 AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY key) - 1 AS p, CASE WHEN count(*) OVER (PARTITION BY run) > 1 THEN length(bin(count(*) OVER (PARTITION BY run) - 1)) ELSE 0 END AS height, sha1({_RECORD}) AS h FROM runs)"]
+_TREE += [f"m{i + 1} AS (SELECT run, p // 2 AS p, height, CASE WHEN height > {i} THEN sha1(unhex(max(CASE WHEN p % 2 = 0 THEN h END)) || unhex(coalesce(max(CASE WHEN p % 2 = 1 THEN h END), {_EMPTY[i]}))) ELSE max(h) END AS h FROM m{i} GROUP BY run, p // 2, height)" for i in range(9)]
+_ROOTS = ", ".join(_TREE)
+
+
+def _tiered(level: int) -> str:
+    """What one level's turn of a size-tiered compaction makes of s<level>."""
+    due = f"(SELECT count(DISTINCT run) FROM s{level} WHERE level = {level}) >= {DEFAULT.lsm_max_per_level}"
+    number = f"(SELECT coalesce(max(run), -1) + 1 FROM s{level} WHERE level = {level + 1})"
+    return f"s{level + 1} AS (SELECT * FROM s{level} WHERE NOT (level = {level} AND {due}) UNION ALL SELECT {level + 1} AS level, {number} AS run, {_VERSION} FROM (SELECT * FROM s{level} WHERE level = {level} {_WIN}) WHERE {due})"
+
+
 def oracle_sql() -> dict[str, str]:
     prune = "SELECT run, start, stop, n FROM ranges WHERE"
     ends = "SELECT level, run, min(key) AS start, max(key) AS stop FROM leveled GROUP BY level, run"
@@ -113,10 +140,14 @@ def oracle_sql() -> dict[str, str]:
         "sst_prune_range": f"{_R} {prune} start <= 'u000001' AND stop >= 'u'",
         "sst_prune_prefix": f"{_R} {prune} stop >= 'u00000' AND (start < 'u00000' OR starts_with(start, 'u00000'))",
         "read_order": f"{_R} SELECT level, run, row_number() OVER (ORDER BY level, run DESC) AS visit FROM (SELECT DISTINCT level, run FROM leveled)",
-        "merge_two_runs": f"{_R} SELECT {_VERSION} FROM runs WHERE run IN (0, 1) {_WIN}",
-        "compact_size_tiered": f"{_R} SELECT 1::BIGINT AS level, {_VERSION} FROM leveled WHERE level = 0 {_WIN}",
+        "merge_two_runs": f"{_R} SELECT run // 2 AS pair, {_VERSION} FROM runs QUALIFY row_number() OVER (PARTITION BY run // 2, key ORDER BY ts DESC, seq DESC) = 1",
+        "compact_size_tiered": f"{_R} SELECT level + 1 AS level, {_VERSION} FROM leveled WHERE level < {DEFAULT.lsm_levels - 1} QUALIFY row_number() OVER (PARTITION BY level, key ORDER BY ts DESC, seq DESC) = 1",
         "compact_leveled_l0": f"{_R}, x AS (SELECT * FROM leveled WHERE level <= 1 {_WIN}) SELECT 1::BIGINT AS level, {_CHUNK}, {_VERSION} FROM x",
-        "compact_leveled_ln": f"{_R}, o AS ({overlap}), x AS (SELECT * FROM leveled WHERE level = 1 OR level = 2 AND run IN (SELECT below FROM o WHERE level = 1) {_WIN}) SELECT 2::BIGINT AS level, {_CHUNK}, {_VERSION} FROM x",
+        "compact_leveled_ln": f"{_R}, o AS ({overlap}), " + ", ".join(f"x{n} AS (SELECT * FROM leveled WHERE level = {n} OR level = {n + 1} AND run IN (SELECT below FROM o WHERE level = {n}) {_WIN})" for n in (1, 2)) + " " + " UNION ALL ".join(f"SELECT {n + 1}::BIGINT AS level, {_CHUNK}, {_VERSION} FROM x{n}" for n in (1, 2)),
+        "store_manifest": f"{_R}, {_ROOTS} SELECT level, run, start, stop, n, h AS root FROM (SELECT DISTINCT level, run FROM leveled) JOIN ranges USING (run) JOIN m9 USING (run)",
+        "store_compacted": f"{_R}, s0 AS (SELECT level, run, {_VERSION} FROM leveled), {', '.join(map(_tiered, range(DEFAULT.lsm_levels - 1)))} SELECT * FROM s{DEFAULT.lsm_levels - 1}",
+        "store_leveled": f"{_R}, x AS (SELECT * FROM leveled WHERE level <= 1 {_WIN}), y AS (SELECT 1::BIGINT AS level, {_CHUNK.removesuffix(' AS chunk')} + (SELECT coalesce(max(run), -1) + 1 FROM leveled WHERE level = 1) AS run, key FROM x) SELECT level, run, count(*) AS n, min(key) AS start, max(key) AS stop FROM (SELECT level, chunk AS run, key FROM (SELECT level, run AS chunk, key FROM y) UNION ALL SELECT level, run, key FROM leveled WHERE level > 1) GROUP BY level, run",
+        "store_reads": f"{_L} SELECT 'get' AS read, k.key, value FROM (VALUES {_values(KEYS)}) k(key) LEFT JOIN live USING (key) UNION ALL SELECT 'range', key, value FROM live WHERE key BETWEEN '{START}' AND '{STOP}' UNION ALL SELECT 'prefix', key, value FROM live WHERE starts_with(key, '{PREFIX}')",
         "compact_chunks": f"{_L}, x AS (SELECT key, {_CHUNK} FROM latest) SELECT chunk, count(*) AS n, min(key) AS start, max(key) AS stop FROM x GROUP BY chunk",
         "compaction_trigger": f"{_R} SELECT level, count(DISTINCT run) AS runs, count(DISTINCT run) >= {DEFAULT.lsm_max_per_level} AS size_tiered_due, count(DISTINCT run) > [{', '.join(map(str, DEFAULT.leveled_max_runs))}][level + 1] AS leveled_due FROM leveled GROUP BY level",
         "run_overlap": f"{_R} {overlap}",
@@ -124,9 +155,20 @@ def oracle_sql() -> dict[str, str]:
         "wal_replay": f"{_L} SELECT {_VERSION} FROM latest",
         "wal_after_truncate": f"{_L} SELECT 1::BIGINT AS segment, {_VERSION} FROM log WHERE segment = (SELECT max(segment) FROM log)",
         "wal_trim": f"{_L} SELECT segment - 10 AS segment, count(*) AS entries, min(seq) AS first_seq FROM log WHERE segment > 10 GROUP BY ALL",
-        "seeded_hash": "SELECT c_name, " + ", ".join(f"{_hash('c_name', str(i), BLOOM_M)} AS h{i}" for i in range(3)) + " FROM customer",
+        "seeded_hash": "SELECT c_name, " + ", ".join(f"{_hash('c_name', str(i), HASH_M)} AS h{i}" for i in range(3)) + " FROM customer",
         "md5_hex": "SELECT c_name, md5(c_name) AS md5 FROM customer",
         "simhash_bits": f"SELECT c_name, array_to_string(list_transform(string_split(md5(c_name), ''), lambda c: {_bit8('c')}), '') AS bits FROM customer",
+        "merkle_runs": f"{_R}, {_ROOTS} SELECT run, h AS root FROM m9",
+        "bad_records": f"{_L} SELECT seq, key FROM log WHERE seq % 100 = 7",
+        "kv_remove": f"{_L} SELECT {_VERSION} FROM log WHERE key NOT IN (SELECT key FROM latest WHERE tombstone = 1)",
+        "admission": f"{_BUCKET} SELECT key AS user, CASE WHEN seq % 10 = 3 THEN 'hll_' || key ELSE key END AS key, ts, seq, allowed, allowed AND seq % 10 <> 3 AS admitted FROM f",
+        "token_bucket_state": f"{_BUCKET} SELECT key, tokens, reset FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1",
+        "simhash_radius": f"WITH h AS (SELECT fingerprint, min(doc_id) AS id FROM ({_prints('documents', 'doc_id', 'text')}) GROUP BY fingerprint) SELECT a.id AS first, b.id AS second, CAST(hamming(a.fingerprint, b.fingerprint) AS BIGINT) AS distance FROM h a JOIN h b ON a.id < b.id WHERE hamming(a.fingerprint, b.fingerprint) <= {RADIUS}",
+        "sketch_hll": f"WITH {_hll(8, 'c_mktsegment')} SELECT c_mktsegment AS name, round(256 * ln(256.0 / (256 - count(*) FILTER (WHERE value > 0))), 6) AS estimate FROM reg GROUP BY c_mktsegment UNION ALL SELECT 'empty', 0.0",
+        "sketch_cms": f"WITH {_cms(_PARTS, HEAVY_M, HEAVY_K)} SELECT 'parts' AS name, e AS element, min(n) AS estimate FROM cells JOIN matrix USING (i, j) GROUP BY e",
+        "sketch_bf": f"WITH {_BITS}, f AS ({_found(f'{_NAMES} UNION ALL {_PROBES}')}) SELECT 'names' AS name, name AS element, found FROM f",
+        "sketch_simhash": f"WITH p AS (SELECT item_id, b.text AS t1, d.text AS t2 FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), a AS ({_prints('p', 'item_id', 't1', 32)}), b AS ({_prints('p', 'item_id', 't2', 32)}) SELECT item_id, CAST(hamming(a.fingerprint, b.fingerprint) AS BIGINT) AS distance FROM a JOIN b USING (item_id)",
+        "lru_deletes": f"WITH {_LOG}, t AS (SELECT key, seq, max(CASE WHEN tombstone = 0 THEN seq END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM log), c AS (SELECT a.seq, count(DISTINCT b.key) AS between_ FROM t a LEFT JOIN (SELECT * FROM log WHERE tombstone = 0) b ON b.seq > a.before AND b.seq < a.seq WHERE a.before IS NOT NULL GROUP BY a.seq) SELECT key, t.seq, coalesce(between_ < {DEFAULT.cache_size}, false) AS hit FROM t LEFT JOIN c USING (seq)",
         "bf_bits": f"WITH {_BITS} SELECT position FROM bits",
         "bf_find": f"WITH {_BITS} {_found(f'{_NAMES} UNION ALL {_PROBES}')}",
         "bf_false_positives": f"WITH {_BITS} SELECT name FROM ({_found(_PROBES)}) WHERE found",
