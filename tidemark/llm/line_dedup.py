@@ -46,7 +46,7 @@ LIST = 32_768
 NEAR = 8
 HANDED = 8
 #: The entries that a task gathers before it sends them; entries up to which lists are compared step by step.
-SEND = 1_000_000
+SEND = 400_000
 SHORT_LIST = 512
 #: 64-bit words of an entry's bitmap, and in the second join, where lists have more that look alike.
 NARROW = 2
