@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialise, table
 from tidemark.llm.graph import components
-from tidemark.llm.packed import Vocabulary, mix, pack_sorted, portions, unpack_sorted
+from tidemark.llm.packed import Hasher, mix, pack_sorted, portions, unpack_sorted
 
 BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
@@ -86,25 +86,35 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
-    vocabulary = Vocabulary()
-    texts = [vocabulary.encode(t) for t in batch.column("text").to_pylist()]
-    hashes = vocabulary.hashes()
-    for words in texts:
-        yield shingles(hashes[words], k)
+def _sets(hasher: Hasher, batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    texts = [t or b"" for t in batch.column("text").to_pylist()]
+    hashes, starts = hasher(b" ".join(texts))
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield shingles(hashes[start:end], k)
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A signature's hash of each band."""
+    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        out = mix(out, rows[:, j])
+    return out
 
 
 def _sketch(k: int):
-    """(doc_id, text) -> (doc_id, n, digest, sig)."""
+    """(doc_id, text) -> (doc_id, n, digest, bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in portions(batches):
-            sizes, digests, sigs = [], [], []
-            for keys in _sets(batch, k):
+            sizes, digests, bands = [], [], []
+            for keys in _sets(hasher, batch, k):
                 sizes.append(len(keys))
                 digests.append(xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None)
-                sigs.append(signature(keys).tobytes() if len(keys) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "digest", "sig"])
+                bands.append(band_keys(signature(keys)).tobytes() if len(keys) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "n", "digest", "bands"])
 
     return run
 
@@ -113,22 +123,19 @@ def _full(k: int):
     """(doc_id, text) -> (doc_id, sig, keys), for candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in portions(batches):
-            sets = list(_sets(batch, k))
+            sets = list(_sets(hasher, batch, k))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.array([pack_sorted(x) for x in sets], pa.binary())], names=["doc_id", "sig", "keys"])
 
     return run
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, sig) -> (key, doc_id): a row for each band."""
+    """(doc_id, bands) -> (key, doc_id): a row for each band."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
-        for j in range(ROWS):
-            key = mix(key, sig[:, :, j])
-        ids = np.repeat(batch.column("doc_id").to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "doc_id"])
+        keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("doc_id").to_numpy(), BANDS))], names=["key", "doc_id"])
 
 
 def _verify(percent: int):
@@ -192,9 +199,9 @@ def _rest(percent: int):
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; ids are integers."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sketched = materialise(rows.mapInArrow(_sketch(shingle), "doc_id long, n long, digest binary, sig binary"), "near-sketches")
+    sketched = materialise(rows.mapInArrow(_sketch(shingle), "doc_id long, n long, digest binary, bands binary"), "near-sketches")
     classes = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    heads = sketched.filter("digest IS NOT NULL").join(classes.select("digest", F.col("rep").alias("doc_id")), on=["digest", "doc_id"], how="left_semi").select("doc_id", "sig")
+    heads = sketched.filter("digest IS NOT NULL").join(classes.select("digest", F.col("rep").alias("doc_id")), on=["digest", "doc_id"], how="left_semi").select("doc_id", "bands")
     bands = heads.mapInArrow(_bands, "key long, doc_id long")
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("key", "b")
     stars = materialise(bands.join(hubs, on="key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "near-stars")
