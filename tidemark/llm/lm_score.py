@@ -32,9 +32,8 @@ from tidemark.llm.packed import Vocabulary, mix, pack, pack_sorted, portions, sl
 #: Strength of the unigram distribution in a context, in tokens; discount of the unigrams.
 MU = 200.0
 DISCOUNT = 0.75
-#: Bytes of text of a block (memory of a task: about 50 times as much), and shards for each block's worth of text.
+#: Bytes of text of a block (memory of a task: about 50 times as much).
 BLOCK_BYTES = 4 << 20
-SHARDS_PER_BLOCK = 1
 _ASK = "block long, shard long, k1 binary, n1 binary, k2 binary, n2 binary"
 _TELL = "block long, shard long, n1 binary, n2 binary"
 
@@ -180,7 +179,8 @@ def score(docs: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), learn.alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    shards = max(8, blocks * SHARDS_PER_BLOCK)
+    # as many shards as blocks, and a shard to 1 GB of text where there is so much that a message would hold few entries
+    shards = max(8, min(blocks, 4096 + (size >> 30)))
     words = rows.filter("learn").select("text").mapInArrow(_count_words(shards), "shard long, k1 binary, n1 binary")
     totals = words.groupBy("shard").applyInArrow(_count_shard, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n, v = totals[0] or 0, totals[1] or 0
