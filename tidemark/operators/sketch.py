@@ -48,10 +48,6 @@ def bloom_find(filter_: DataFrame, probes: DataFrame, probe: str, m: int, k: int
     return hit.groupBy(probe).agg((F.min(F.coalesce("_set", F.lit(0))) == 1).alias("found"))
 
 
-def bloom_merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.union(b).distinct()
-
-
 def cms(elements: DataFrame, element: Column, m: int, k: int) -> DataFrame:
     """i, j, n of the cells that are not 0. Equal elements are counted before they are hashed."""
     counts = elements.groupBy(element.cast("string").alias("_e")).agg(F.count("*").alias("_n"))
@@ -65,10 +61,6 @@ def cms_count(sketch: DataFrame, probes: DataFrame, probe: str, m: int, k: int)
     return hit.groupBy(probe).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
-def cms_merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.union(b).groupBy("i", "j").agg(F.sum("n").alias("n"))
-
-
 def hll_cell(element: Column, p: int) -> tuple[Column, Column]:
     """Bucket and value of an element: the first p bits, and the zero bits at the end, of the text of the MD5's characters."""
     if not 4 <= p <= 16:
@@ -92,7 +84,3 @@ def hll_estimate(registers: DataFrame, p: int, *by: str) -> DataFrame:
     m = 1 << p
     used = registers.groupBy(*by).agg(F.count("*").alias("_used"))
     return used.select(*by, F.round(m * F.log(F.lit(float(m)) / (m - F.col("_used"))), 6).alias("estimate"))
-
-
-def hll_merge(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
-    return a.union(b).groupBy(*by, "bucket").agg(F.max("value").alias("value"))

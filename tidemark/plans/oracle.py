@@ -92,8 +92,6 @@ f AS (SELECT key, ts, seq, k, {TOKENS - 1} AS tokens, ts AS reset, true AS allow
   FROM f JOIN r ON r.key = f.key AND r.k = f.k + 1)"""
 
 
-
-
 def _eight(number: str) -> str:
     """A number as eight bytes, lowest first."""
     return f"unhex(array_to_string(list_reverse(regexp_extract_all(printf('%016x', {number}), '..')), ''))"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import DEFAULT, Config
+from tidemark.config import DEFAULT, RESERVED, Config
 
 COLUMNS = ("key", "value", "tombstone", "ts", "seq")
 
@@ -32,7 +32,7 @@ def delete(key: Column, ts: Column, seq: Column) -> list[Column]:
 
 def reserved(key: Column) -> Column:
     """Keys that users may not write or see. Empty keys are reserved too."""
-    return key.rlike("^(tb|hll|cms|bf|sh)_") | (key == "")
+    return key.rlike("^(" + "|".join(RESERVED) + ")") | (key == "")
 
 
 def run_of(seq: Column, config: Config = DEFAULT) -> Column:
@@ -61,14 +61,6 @@ def append(log: DataFrame, path: str) -> None:
     log.select(*COLUMNS).sortWithinPartitions("key", "ts", "seq").write.mode("append").parquet(path)
 
 
-def write_run(rows: DataFrame, path: str, *, files: int | None = None, rows_per_file: int = 0) -> None:
-    """Write a sorted run: range-partitioned by key, with a Bloom filter on key, so that point, prefix and range reads skip files
-    and row groups by their statistics."""
-    ranged = rows.repartitionByRange(files, "key") if files else rows.repartitionByRange("key")
-    writer = ranged.sortWithinPartitions("key").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true")
-    (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A log or run that was written. A path without files is an empty log."""
     schema = "key string, value string, tombstone tinyint, ts bigint, seq bigint"

@@ -79,7 +79,8 @@ def _hashed(rows: DataFrame) -> DataFrame:
 def _cells_of(kind: str, known: DataFrame, counted: DataFrame) -> DataFrame | None:
     rows = counted.join(known, on="name")
     if kind != "hll":
-        cells = _hashed(rows).groupBy("name", "version", "i", "j")
+        hashed = _hashed(rows)
+        cells = (hashed.withColumn("i", F.lit(0)) if kind == "bf" else hashed).groupBy("name", "version", "i", "j")  # a filter's hashes share its bits
         return cells.agg((F.sum("c") if kind == "cms" else F.max(F.lit(1).cast("bigint"))).alias("n"))
     out = None
     for p in sorted(r[0] for r in known.select("depth").distinct().collect()):  # at most 13 precisions
@@ -140,7 +141,8 @@ def compact(spark: SparkSession, path: str) -> None:
 def _asked(spark: SparkSession, path: str, kind: str, probes: DataFrame, name: Column, probe: Column) -> DataFrame:
     known = made(spark, path).filter(F.col("kind") == kind).drop("kind")
     asked = probes.select(name.cast("string").alias("name"), probe.cast("string").alias("e")).distinct()
-    return _hashed(asked.join(known, on="name")).join(cells(spark, path, kind), on=["name", "i", "j"], how="left")
+    held, at = cells(spark, path, kind), ["name", "i", "j"]
+    return _hashed(asked.join(known, on="name")).join(held.drop("i") if kind == "bf" else held, on=["name", "j"] if kind == "bf" else at, how="left")
 
 
 def find(spark: SparkSession, path: str, probes: DataFrame, name: Column, probe: Column) -> DataFrame:
