@@ -13,7 +13,8 @@ shard, at most one entry for each different word or bigram of a block: a word th
 another, and no key is hot.
 
 Defined results: a null or empty text has one token, its end; with no text to learn from, N = V = 0 and every token is
-unknown with probability 1; repeated rows are texts of their own; a null id counts as the empty text where it picks a fold.
+unknown with probability 1; repeated rows are texts of their own; a null id counts as the empty text where it picks a fold; columns but
+id and text are left out. A very long text makes its block as large: about 100 times its bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_bucket, table
-from tidemark.llm.packed import Vocabulary, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
+from tidemark.llm.packed import Hasher, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
 
 #: Strength of the unigram distribution in a context, in tokens; discount of the unigrams.
 MU = 200.0
@@ -38,21 +39,24 @@ _ASK = "block long, shard long, k1 binary, n1 binary, k2 binary, n2 binary"
 _TELL = "block long, shard long, n1 binary, n2 binary"
 
 
-class Block:
-    """The tokens of a block's texts, their words and bigrams, each sorted by hash."""
+#: The hash of a text's end, which is no word's.
+_END = np.uint64(0xEF46DB3751D8E999)
+
 
-    def __init__(self, texts: list[bytes | None]):
-        vocabulary = Vocabulary()
-        docs = [vocabulary.encode(t) for t in texts]
-        self.lengths = np.array([len(d) + 1 for d in docs], np.int64)
-        end = np.zeros(1, np.int64)
+class Block:
+    """The tokens of a block's texts, their words and bigrams, each sorted by hash. Word 0 is a text's end."""
+
+    def __init__(self, hasher: Hasher, texts: list[bytes | None]):
+        hashes, starts = hasher(b" ".join(t or b"" for t in texts))
+        ends = np.searchsorted(starts, np.cumsum([len(t or b"") + 1 for t in texts])) if texts else np.zeros(0, np.int64)
+        self.lengths = np.diff(ends, prepend=0) + 1
+        keys, ids = np.unique(hashes, return_inverse=True)
+        h = np.concatenate([[_END], keys])
         # an end before each text is its first context, and the end of the text before it
-        self.tokens = np.concatenate([end, *(x for d in docs for x in (d, end))])
-        self.words = len(vocabulary.ids)
-        codes, self.pair_of = np.unique(self.tokens[:-1] * self.words + self.tokens[1:], return_inverse=True)
-        self.codes = codes
-        h = vocabulary.hashes()
-        pairs = mix(h[codes // self.words], h[codes % self.words])
+        self.tokens = np.concatenate([[0], np.insert(ids + 1, ends, 0)])
+        self.words = len(h)
+        self.codes, self.pair_of = np.unique(self.tokens[:-1] * self.words + self.tokens[1:], return_inverse=True)
+        pairs = mix(h[self.codes // self.words], h[self.codes % self.words])
         self.word_order, self.pair_order = np.argsort(h), np.argsort(pairs)
         self.word_keys, self.pair_keys = h[self.word_order], pairs[self.pair_order]
 
@@ -65,7 +69,7 @@ class Block:
 
 
 class Automaton:
-    """The part of the backoff automaton that a block's texts reach. Word ids are states; -1 is the empty context."""
+    """The part of the backoff automaton that a block's texts reach. Known words are states; others lead to the empty context."""
 
     def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, n: int, v: int):
         count = np.empty(block.words)
@@ -74,47 +78,30 @@ class Automaton:
         pair[block.pair_order] = pairs
         self.count = count
         n, v = float(n), float(v)
-        new = DISCOUNT * v / n if n else 1.0
-        p = np.where(count > 0, (count - DISCOUNT) / max(n, 1.0), new)
-        seen = pair > 0
-        code = block.codes[seen]
-        h, w = code // block.words, code % block.words
-        arc = np.log10((pair[seen] + MU * p[w]) / (count[h] + MU))
-        self.words = block.words
-        self.arcs = dict(zip(code.tolist(), arc.tolist()))
-        self.empty = np.log10(p).tolist()
-        self.failure = np.log10(MU / (count + MU)).tolist()
-        self.state = np.where(count > 0, np.arange(block.words), -1).tolist()
-
-    def score(self, tokens: list[int]) -> float:
-        """One traversal, from the state of a text's start."""
-        total, state = 0.0, self.state[0]
-        arcs, empty, failure, states, words = self.arcs, self.empty, self.failure, self.state, self.words
-        for w in tokens:
-            if state >= 0:
-                arc = arcs.get(state * words + w)
-                if arc is None:
-                    total += failure[state] + empty[w]
-                else:
-                    total += arc
-            else:
-                total += empty[w]
-            state = states[w]
-        return total
+        p = np.where(count > 0, (count - DISCOUNT) / max(n, 1.0), DISCOUNT * v / n if n else 1.0)
+        h, w = np.divmod(block.codes, block.words)
+        self.empty = np.log10(p)
+        #: For each bigram of the block: its arc, or the failure arc's weight and the arc at the empty context; only the latter where the
+        #: word before is no state.
+        arc = np.log10((pair + MU * p[w]) / (count[h] + MU))
+        self.step = np.where(count[h] == 0, self.empty[w], np.where(pair > 0, arc, np.log10(MU / (count[h] + MU)) + self.empty[w]))
+
+    def scores(self, block: Block) -> np.ndarray:
+        """The texts' traversals from left to right. A token's state is known by the token before it, so that the steps of all
+        traversals are looked up at once and added up text by text."""
+        return np.add.reduceat(self.step[block.pair_of], np.cumsum(block.lengths) - block.lengths)
 
 
 def _count_words(shards: int):
     """(text) of training documents -> (shard, k1, n1): the different words of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in portions(batches):
-            vocabulary = Vocabulary()
-            parts = [vocabulary.encode(t) for t in batch.column(0).to_pylist()]
-            count = np.bincount(np.concatenate(parts), minlength=len(vocabulary.ids))
-            count[0] = len(parts)
-            keys = vocabulary.hashes()
-            order = np.argsort(keys)
-            keys, count = keys[order], count[order].astype(np.uint32)
+            texts = batch.column(0).to_pylist()
+            hashes, _ = hasher(b" ".join(t or b"" for t in texts))
+            keys, count = np.unique(np.concatenate([hashes, np.full(len(texts), _END)]), return_counts=True)
+            count = count.astype(np.uint32)
             rows = [(s, pack_sorted(keys[at]), pack(count[at])) for s, at in slices(keys, shards)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2))], names=["shard", "k1", "n1"])
 
@@ -130,7 +117,7 @@ def _count_shard(rows: pa.Table) -> pa.Table:
 
 def _ask(shards: int):
     def run(docs: pa.Table) -> pa.Table:
-        block = Block(docs.column("text").to_pylist())
+        block = Block(Hasher(), docs.column("text").to_pylist())
         words, pairs = block.counts(docs.column("learn").to_numpy())
         of: dict[int, list] = {}
         for c, keys, counts in ((0, block.word_keys, words), (2, block.pair_keys, pairs)):
@@ -157,7 +144,7 @@ def _tell(rows: pa.Table) -> pa.Table:
 
 def _score(n: int, v: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(docs.column("text").to_pylist())
+        block = Block(Hasher(), docs.column("text").to_pylist())
         told = told.sort_by("shard")
         totals = [np.concatenate([unpack(x) for x in told.column(c).to_pylist()]) for c in ("n1", "n2")]
         automaton = Automaton(block, *totals, n, v)
@@ -165,10 +152,9 @@ def _score(n: int, v: int):
         count = automaton.count[block.tokens[1:]]
         known = np.add.reduceat((count > 0).astype(np.int64), ends - block.lengths)
         base = np.add.reduceat(np.log10(count + 1), ends - block.lengths) - block.lengths * math.log10(n + v + 1)
-        tokens = block.tokens[1:].tolist()
-        score = [automaton.score(tokens[e - m : e]) for e, m in zip(ends.tolist(), block.lengths.tolist())]
+        score = automaton.scores(block)
         keep = [docs.column(c) for c in docs.schema.names if c not in ("text", "block")]
-        return pa.table([*keep, pa.array(block.lengths), pa.array(known), pa.array([n] * len(score), pa.int64()), pa.array(base), pa.array(score, pa.float64())], names=[c for c in docs.schema.names if c not in ("text", "block")] + ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([*keep, pa.array(block.lengths), pa.array(known), pa.array([n] * len(score), pa.int64()), pa.array(base), pa.array(score)], names=[c for c in docs.schema.names if c not in ("text", "block")] + ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 

@@ -15,7 +15,7 @@ A pair at a similarity of 0.8 misses all bands with probability (1 - 0.8**5)**28
 
 Defined results: null and empty texts, and texts without a word, have no shingle, are linked with nothing and are kept; a text of
 fewer words than a shingle has its whole sequence as one; rows with a null id are linked with nothing and are kept; rows with one
-id are one document, which is near what any of their texts is near; an empty table gives no rows. Long texts are read in pieces of 4 MB.
+id are one document, which is near what any of their texts is near; an empty table gives no rows. A long text takes about 30 times its bytes.
 """
 
 from __future__ import annotations

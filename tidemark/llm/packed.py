@@ -7,7 +7,6 @@ shuffle's compression makes use of.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,39 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Long texts are tokenised in pieces of about this many bytes, cut at white space.
+#: Batches are taken in slices of about this many bytes of text; a longer text is a slice of its own.
 PIECE = 1 << 22
 _SPACE = tuple(b" \t\n\r\x0b\x0c")
-
-
-def word_lists(text: bytes | None) -> Iterator[list[bytes]]:
-    """Words between ASCII white space, with A-Z lowered, piece by piece."""
-    text = text or b""
-    start = 0
-    while start < len(text):
-        end = min(len(text), start + PIECE)
-        while end < len(text) and text[end] not in _SPACE:
-            end += 1
-        yield text[start:end].lower().split()
-        start = end
-
-
-class Vocabulary:
-    """Local ids of words, in order of appearance. Id 0 is the empty word, which stands for a text's end."""
-
-    def __init__(self):
-        self.ids: defaultdict[bytes, int] = defaultdict()
-        self.ids.default_factory = self.ids.__len__
-        self.ids[b""]
-
-    def encode(self, text: bytes | None) -> np.ndarray:
-        parts = [np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)) for words in word_lists(text)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.ids), np.uint64, len(self.ids))
-
-
 #: Bytes that Hasher takes at once; a word of as many or more is hashed alone.
 CHUNK = 1 << 16
 #: An odd base of the words' polynomials.
