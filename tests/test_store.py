@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -300,6 +301,35 @@ def test_simhash_radius(spark):
     assert len({r["fingerprint"] for r in text.fingerprints(null, "id", "t").collect()}) == 1
 
 
+@pytest.mark.parametrize("bits, radius", [(64, 3), (64, 0), (8, 7), (8, 6), (100, 2), (256, 1), (256, 12), (70, 65)])
+def test_simhash_radius_in_blocks(spark, monkeypatch, bits, radius):
+    """Keys with more fingerprints than a block, at widths and radii that are cut differently."""
+    monkeypatch.setattr(text, "BLOCK", 3)
+    rng = random.Random(bits + radius)
+    bases = [rng.getrandbits(bits) for _ in range(8)]
+    values = [b ^ sum(1 << at for at in rng.sample(range(bits), rng.randrange(min(bits, radius + 3)))) for b in bases for _ in range(10)]
+    prints = [f"{v:0{bits}b}" for v in values]
+    heads = {}
+    for i, p in enumerate(prints):
+        heads.setdefault(p, i)
+    far = lambda a, b: sum(x != y for x, y in zip(a, b))
+    want = sorted((i, j, far(p, q)) for p, i in heads.items() for q, j in heads.items() if i < j and far(p, q) <= radius)
+    rows = spark.createDataFrame(list(enumerate(prints)), "id long, fingerprint string")
+    assert sorted(map(tuple, text.near(rows, "id", bits, radius).collect())) == want
+
+
+def test_simhash_radius_of_a_shared_piece(spark):
+    """All fingerprints have their first 16 bits in common: that makes no 16 million candidates."""
+    rng = random.Random(2)
+    values = [rng.getrandbits(48) for _ in range(3_990)]
+    values += [v ^ 5 for v in values[:10]]
+    rows = spark.createDataFrame([(i, f"{0x3636:016b}{v:048b}") for i, v in enumerate(values)], "id long, fingerprint string")
+    began = time.time()
+    got = sorted(map(tuple, text.near(rows, "id", 64, 3).collect()))
+    assert got == [(i, 3_990 + i, 2) for i in range(10)]
+    assert time.time() - began < 45
+
+
 def test_lru_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(stateful, "CHUNK_ROWS", 37)
     rng = random.Random(3)
