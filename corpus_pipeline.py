@@ -13,41 +13,46 @@ from tidemark.llm import decontaminate, langid, line_dedup, mixing, near_dedup
 from tidemark.llm.common import READ, discard_paths, materialise, table, written
 
 
-def _plain_reads(spark: SparkSession) -> None:
-    """The stage's input is read with the settings of table(), unless the session has its own."""
-    for key, value in READ.items():
+#: Batches for Python by bytes as well as by rows: 10,000 rows with their texts, or with two shingle sets each, are tens of MB, which the
+#: executor holds several times over beside its heap. A longer row is a batch of its own.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def _settings(spark: SparkSession) -> None:
+    """The stage's input is read with the settings of table() and sent to Python in small batches, unless the session has its own."""
+    for key, value in (READ | BATCHES).items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from those that have a label."""
-    _plain_reads(spark)
+    _settings(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match a line before them; n_chars follows the text."""
-    _plain_reads(spark)
+    _settings(spark)
     out = line_dedup.deduplicate(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, by five-word shingles."""
-    _plain_reads(spark)
+    _settings(spark)
     return near_dedup.deduplicate(docs)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    _plain_reads(spark)
+    _settings(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    _plain_reads(spark)
+    _settings(spark)
     return mixing.emit(docs)
 
 

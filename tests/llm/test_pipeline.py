@@ -115,3 +115,25 @@ def test_chain_equals_its_stages(spark, data, stages):
         assert {c: r[c] for c in docs[r["doc_id"]]} == docs[r["doc_id"]]
     left = [x.rsplit("/", 1)[1].removeprefix("tidemark-").rsplit("-", 1)[0] for x in common.written() if x not in before]
     assert sorted(left) == ["benchmark-decontamination", "mix-blocks", "mix-sources"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_send_small_batches(spark, data, name):
+    """A stage's session sends Python few MB at once, whatever the rows' sizes; it keeps a setting that is there."""
+    key = next(iter(corpus_pipeline.BATCHES))
+    spark.conf.unset(key)
+    docs = common.table(spark, data, "documents")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(20), data)
+        texts = spark.range(0, 4_000, 1, 1).selectExpr("repeat('word ', 1000) AS text")
+        assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) < 6 << 20
+        spark.conf.set(key, "123456")
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(20), data)
+        assert spark.conf.get(key) == "123456"
+    finally:
+        spark.conf.unset(key)
