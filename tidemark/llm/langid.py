@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_bucket, table
-from tidemark.llm.packed import portions
+from tidemark.llm.packed import lean, portions
 
 UND = "und"
 #: Documents of a language that the model is fitted on (expected number; texts are used whole).
@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return Model({}, [])
     shares = rows.sparkSession.createDataFrame([(k, int(min(1.0, rows_per_lang / n) * (1 << 30))) for k, n in sizes.items()], "lang string, _share long")
     sample = rows.join(F.broadcast(shares) if len(langs) <= BROADCAST_LANGS else shares, on="lang").filter("_x < _share").select("lang", "text")
-    counts = sample.mapInArrow(_sample_counts, "lang string, ord int, gram string, n long").groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(_sample_counts), "lang string, ord int, gram string, n long").groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("ord", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("c"), F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
     found: dict[int, dict[str, list[int]]] = {}
     place = {k: i for i, k in enumerate(langs)}
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["row", "lang_pred", "score"])
 
     rows = docs.select(docs[text_col].alias("text"), F.struct(*[docs[c] for c in keep]).alias("row"))
-    return rows.mapInArrow(scored, rows.drop("text").schema.add("lang_pred", "string").add("score", "double")).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(lean(scored), rows.drop("text").schema.add("lang_pred", "string").add("score", "double")).select("row.*", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -174,7 +174,7 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", le
             told = [model.predict(t, cache) for t in batch.column(column).to_pylist()]
             yield batch.filter(pa.array([lang != UND and score >= least for lang, score in told], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

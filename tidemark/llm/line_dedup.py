@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialise, table
-from tidemark.llm.packed import Hasher, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
+from tidemark.llm.packed import Hasher, give_back, lean, mix, pack, pack_sorted, portions, slices, unpack, unpack_sorted
 
 PERCENT = 80
 #: Buckets of word hashes that rarity is counted in; parts that their sums are shuffled in.
@@ -48,6 +48,9 @@ HANDED = 8
 #: The entries that a task gathers before it sends them; entries up to which lists are compared step by step.
 SEND = 400_000
 SHORT_LIST = 512
+#: Bytes of text whose words a task has in arrays at once, and entries of short lists that are compared at once.
+SLICE = 1 << 20
+STRIDE = 1 << 16
 #: 64-bit words of an entry's bitmap, and in the second join, where lists have more that look alike.
 NARROW = 2
 WIDE = 4
@@ -60,6 +63,7 @@ BROADCAST_NUMBERS = 8_000_000
 _KEY = ["doc_id", "tie"]
 _PLACE = [*_KEY, "line"]
 _PACKED = "kind int, shard long, k binary, digest binary, map binary, size binary, place binary, doc binary, tie binary, line binary, asks binary"
+_SENT = [x.split()[0] for x in _PACKED.split(", ")]
 _FOUND = "doc_id long, tie long, line int, of_doc long, of_tie long, of_line int, far int, more boolean"
 
 
@@ -126,7 +130,7 @@ def _prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> (part, n): words by bucket, and (line, words): the buckets of every SAMPLE-th line's distinct words."""
     hasher, total = Hasher(), np.zeros(1 << RARITY_BITS, np.int64)
-    for batch in portions(batches):
+    for batch in portions(batches, limit=SLICE):
         data = b"\n".join(t or b"" for t in batch.column("text").to_pylist())
         hashes, starts = hasher(data)
         total += np.bincount(bucket(hashes), minlength=len(total))
@@ -166,7 +170,7 @@ def _heads(percent: int, rarity: np.ndarray):
 
 def _rarity(rows: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each bucket: a rank by the number of its words (8 for each doubling), and the groups its lists are dealt out to."""
-    counted = materialise(rows.select("text").mapInArrow(_count, "part int, n binary, line long, words binary"), "line-counts")
+    counted = materialise(rows.select("text").mapInArrow(lean(_count), "part int, n binary, line long, words binary"), "line-counts")
     total = np.zeros((_PARTS, (1 << RARITY_BITS) // _PARTS), np.int64)
     for part, n in counted.filter("part IS NOT NULL").select("part", "n").groupBy("part").applyInArrow(_add_up, "part int, n binary").collect():
         total[part] = unpack(n, np.int64)
@@ -193,13 +197,22 @@ def _deal(keys: np.ndarray, digests: np.ndarray, groups: np.ndarray) -> tuple[np
     return entry, np.where(n > 1, mix(keys[entry], pair), keys[entry])
 
 
-def _send(parts: list[tuple[np.ndarray, ...]], kind: int, shards: int) -> list[tuple]:
-    """Arrays of entries, whose first is the key that decides the shard -> packed rows, one a shard."""
-    columns = [np.concatenate(x) for x in zip(*parts)]
-    order = np.argsort(columns[0])
-    columns = [x[order] for x in columns]
-    as_bytes = lambda x: x.tobytes() if x.dtype == np.uint64 else pack(x)  # noqa: E731  hashes have no planes that are alike
-    return [(kind, s, pack_sorted(columns[0][at]), *(as_bytes(x[at]) for x in columns[1:])) for s, at in slices(columns[0], shards)]
+def _send(parts: list[tuple[np.ndarray, ...]], kind: int, shards: int, names: list[str]) -> pa.RecordBatch:
+    """Arrays of entries, whose first is the key that decides the shard -> packed rows, one a shard. Empties parts, and packs one column
+    after the other, so that one at a time is held several times over."""
+    columns = [list(x) for x in zip(*parts)]
+    parts.clear()
+    take = lambda: np.concatenate(columns.pop(0))
+    keys = take()
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = list(slices(keys, shards))
+    out = {"kind": pa.array([kind] * len(at), pa.int32()), "shard": pa.array([s for s, _ in at], pa.int64()), "k": pa.array([pack_sorted(keys[x]) for _, x in at], pa.binary())}
+    del keys
+    for name in names:
+        x = take()[order]
+        out[name] = pa.array([x[i].tobytes() if x.dtype == np.uint64 else pack(x[i]) for _, i in at], pa.binary())  # hashes have no planes that are alike
+    return pa.RecordBatch.from_arrays([out[c] if c in out else pa.nulls(len(at), pa.binary()) for c in _SENT], names=_SENT)
 
 
 def _received(rows: pa.Table, column: str, dtype=np.uint64) -> np.ndarray:
@@ -229,65 +242,69 @@ def _hear(percent: int, rarity: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in portions(batches):
+        for batch in portions(batches, limit=SLICE):
             lines = Lines(hasher, batch.column("text").to_pylist(), rarity)
             take, _ = _prefixes(lines, np.flatnonzero(_asking(lines, batch.column("asks").to_pylist())), percent)
             words = np.unique(lines.word[take] >> np.uint64(64 - HEARD_BITS)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(words)], names=["word"])
 
-    return run
+    return lean(run)
 
 
 def _post(shards: int, percent: int, rarity: np.ndarray, groups: np.ndarray, again: bool, words: np.ndarray | None = None):
     """(doc_id, tie, text, asks) -> packed rows of two kinds: prefix entries of the classes (1), and all lines by digest (0).
     again: no lines, and entries that say whether their line asks, of `words` (or all)."""
 
-    def rows(sent: list[tuple], names: list[str]) -> pa.RecordBatch:
-        schema = {"kind": pa.int32(), "shard": pa.int64()} | dict.fromkeys(("k", "digest", "map", "size", "place", "doc", "tie", "line", "asks"), pa.binary())
-        at = {name: i for i, name in enumerate(["kind", "shard", "k", *names])}
-        return pa.RecordBatch.from_arrays([pa.array([r[at[c]] for r in sent], t) if c in at else pa.nulls(len(sent), t) for c, t in schema.items()], names=list(schema))
+    wide = WIDE if again else NARROW
+
+    def entries_of(hasher: Hasher, batch: pa.RecordBatch, heard: np.ndarray | None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """A slice's prefix entries, and its lines; a call of its own, so that its arrays are gone when entries are sent."""
+        lines = Lines(hasher, batch.column("text").to_pylist(), rarity, heard)
+        doc, tie = (batch.column(c).to_numpy(zero_copy_only=False)[lines.doc] for c in ("doc_id", "tie"))
+        number = lines.number.astype(np.int32)
+        stirred = mix(lines.word, lines.word)
+        digest = lines.fold(np.add, stirred)
+        bit, part = np.uint64(1) << (stirred >> np.uint64(58)), stirred >> np.uint64(32) & np.uint64(wide - 1)
+        bitmap = np.stack([lines.fold(np.bitwise_xor, np.where(part == w, bit, np.uint64(0))) for w in range(wide)], axis=1)
+        at = lines.full
+        second = lines.fold(np.add, mix(stirred, lines.word))
+        # the first line of each class
+        order = at[np.lexsort((number[at], tie[at], doc[at], digest[at]))]
+        new = np.ones(len(order), bool)
+        new[1:] = digest[order[1:]] != digest[order[:-1]]
+        take, place = _prefixes(lines, order[new], percent)
+        if heard is not None:
+            take = take[heard[lines.word[take] >> np.uint64(64 - HEARD_BITS)]]
+        asks = _asking(lines, batch.column("asks").to_pylist()) if again else np.ones(lines.count, np.uint8)
+        entry, keys = _deal(lines.word[take], digest[lines.line[take]], groups)
+        of, place = lines.line[take][entry], place[take][entry]
+        entries = keys, digest[of], bitmap[of], lines.sizes[of].astype(np.uint32), place.astype(np.uint32), doc[of], tie[of], number[of], asks[of]
+        return entries, (digest[at], second[at], doc[at], tie[at], number[at])
 
     def flush(entries: list, every: list) -> Iterator[pa.RecordBatch]:
         if entries:
-            yield rows(_send(entries, 1, shards), ["digest", "map", "size", "place", "doc", "tie", "line", "asks"])
+            yield _send(entries, 1, shards, ["digest", "map", "size", "place", "doc", "tie", "line", "asks"])
         if every:
-            yield rows(_send(every, 0, shards), ["digest", "doc", "tie", "line"])
+            yield _send(every, 0, shards, ["digest", "doc", "tie", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, entries, every, held, wide = Hasher(), [], [], 0, WIDE if again else NARROW
+        hasher, entries, every, held = Hasher(), [], [], 0
         heard = None if words is None else np.zeros(1 << HEARD_BITS, bool)
         if heard is not None:
             heard[words] = True
-        for batch in portions(batches):
-            lines = Lines(hasher, batch.column("text").to_pylist(), rarity, heard)
-            doc, tie = (batch.column(c).to_numpy(zero_copy_only=False)[lines.doc] for c in ("doc_id", "tie"))
-            number = lines.number.astype(np.int32)
-            stirred = mix(lines.word, lines.word)
-            digest = lines.fold(np.add, stirred)
-            bit, part = np.uint64(1) << (stirred >> np.uint64(58)), stirred >> np.uint64(32) & np.uint64(wide - 1)
-            bitmap = np.stack([lines.fold(np.bitwise_xor, np.where(part == w, bit, np.uint64(0))) for w in range(wide)], axis=1)
-            at = lines.full
+        for batch in portions(batches, limit=SLICE):
+            prefixes, rows = entries_of(hasher, batch, heard)
+            held += len(prefixes[0]) + len(rows[0])
+            entries.append(prefixes)
             if not again:
-                second = lines.fold(np.add, mix(stirred, lines.word))
-                every.append((digest[at], second[at], doc[at], tie[at], number[at]))
-            # the first line of each class
-            order = at[np.lexsort((number[at], tie[at], doc[at], digest[at]))]
-            new = np.ones(len(order), bool)
-            new[1:] = digest[order[1:]] != digest[order[:-1]]
-            take, place = _prefixes(lines, order[new], percent)
-            if heard is not None:
-                take = take[heard[lines.word[take] >> np.uint64(64 - HEARD_BITS)]]
-            asks = _asking(lines, batch.column("asks").to_pylist()) if again else np.ones(lines.count, np.uint8)
-            entry, keys = _deal(lines.word[take], digest[lines.line[take]], groups)
-            of, place = lines.line[take][entry], place[take][entry]
-            entries.append((keys, digest[of], bitmap[of], lines.sizes[of].astype(np.uint32), place.astype(np.uint32), doc[of], tie[of], number[of], asks[of]))
-            held += len(keys) + len(at)
+                every.append(rows)
+            del prefixes, rows
             if held >= SEND:
                 yield from flush(entries, every)
-                entries, every, held = [], [], 0
+                held = 0
         yield from flush(entries, every)
 
-    return run
+    return lean(run)
 
 
 def _found(later: tuple, earlier: tuple | None = None, far: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.Table:
@@ -324,29 +341,34 @@ class _Entries:
 
     def __init__(self, rows: pa.Table, percent: int):
         key, digest = _received(rows, "k"), _received(rows, "digest")
-        bits = _received(rows, "map").reshape(len(key), -1)
-        size, place, asks = _received(rows, "size", np.uint32), _received(rows, "place", np.uint32), _received(rows, "asks", np.uint8)
-        doc, tie, line = _received(rows, "doc", np.int64), _received(rows, "tie", np.int64), _received(rows, "line", np.int32)
-        every = _when(doc, tie, line)
+        size = _received(rows, "size", np.uint32)
         order = np.argsort(key)
         of = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0).astype(np.uint64)
         # word, size and a part of the digest in one number; classes that this part doesn't tell apart stand as they may
         order = order[np.argsort(of << np.uint64(36) | np.minimum(size, 65_535)[order].astype(np.uint64) << np.uint64(20) | digest[order] >> np.uint64(44))]
+        del of
+        bits = _received(rows, "map").reshape(len(key), -1)
         new = np.ones(len(order), bool)
         new[1:] = False
         for x in (key, size, digest, *bits.T):
             x = x[order]
             new[1:] |= x[1:] != x[:-1]
+        del digest, x
         starts = np.flatnonzero(new)
-        first, when, asks = order[starts], np.minimum.reduceat(every[order], starts), np.maximum.reduceat(asks[order], starts)
+        first = order[starts]
+        doc, tie, line = _received(rows, "doc", np.int64), _received(rows, "tie", np.int64), _received(rows, "line", np.int32)
+        every = _when(doc, tie, line)
+        self.places, at = np.unique(every, return_index=True)
+        self.doc, self.tie, self.line = doc[at], tie[at], line[at]
+        del doc, tie, line, at
+        when, asks = np.minimum.reduceat(every[order], starts), np.maximum.reduceat(_received(rows, "asks", np.uint8)[order], starts)
+        del every, order, starts, new
         if not asks.all():  # lists that nobody asks are not compared
             _, of = np.unique(key[first], return_inverse=True)
             keep = np.bincount(of, asks)[of] > 0
             first, when, asks = first[keep], when[keep], asks[keep]
-        self.key, self.digest, self.bits, self.when, self.asks = key[first], digest[first], bits[first], when, asks.astype(bool)
-        self.size, self.place, self.percent = size[first].astype(np.int64), place[first].astype(np.int64), percent
-        self.places, at = np.unique(every, return_index=True)
-        self.doc, self.tie, self.line = doc[at], tie[at], line[at]
+        self.key, self.bits, self.when, self.asks = key[first], bits[first], when, asks.astype(bool)
+        self.size, self.place, self.percent = size[first].astype(np.int64), _received(rows, "place", np.uint32)[first].astype(np.int64), percent
 
     def admits(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether entries i and j of a word, of which j is not the shorter, may be of a match, and one of them asks for it; and how
@@ -367,18 +389,23 @@ class _Entries:
         """Admissible (later, earlier) entries and how far they are apart; a portion has a later one once. most: as many, the nearest, of
         a long list's entry against those before it in size are enough."""
         starts, lengths = self.lists()
-        at = np.flatnonzero(np.repeat(lengths <= SHORT_LIST, lengths))
-        last = np.repeat(starts + lengths, lengths)
-        step = 0
-        while len(at):
-            step += 1
-            at = at[at + step < last[at]]
-            at = at[100 * self.size[at] >= self.percent * self.size[at + step]]  # sizes ascend: all that follow are longer still
-            ok, far = self.admits(at, at + step)
-            one, far = at[ok], far[ok]
-            turn = self.when[one] < self.when[one + step]
-            yield (one + step)[turn], one[turn], far[turn]
-            yield one[~turn], (one + step)[~turn], far[~turn]
+        short = np.flatnonzero(lengths <= SHORT_LIST)
+        # whole lists of about STRIDE entries together
+        for some in np.split(short, np.flatnonzero(np.diff(np.cumsum(lengths[short]) // STRIDE)) + 1):
+            n = lengths[some]
+            at, last = np.arange(n.sum()) + np.repeat(starts[some] - np.cumsum(n) + n, n), np.repeat((starts + lengths)[some], n)
+            step = 0
+            while len(at):
+                step += 1
+                go = at + step < last
+                at, last = at[go], last[go]
+                go = 100 * self.size[at] >= self.percent * self.size[at + step]  # sizes ascend: all that follow are longer still
+                at, last = at[go], last[go]
+                ok, far = self.admits(at, at + step)
+                one, far = at[ok], far[ok]
+                turn = self.when[one] < self.when[one + step]
+                yield (one + step)[turn], one[turn], far[turn]
+                yield one[~turn], (one + step)[~turn], far[~turn]
         for start, length in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist()):
             for i in range(start, start + length):
                 j = np.arange(i + 1, i + 1 + int(np.searchsorted(self.size[i + 1 : start + length], 100 * self.size[i] // self.percent, side="right")))
@@ -415,9 +442,7 @@ def _join(percent: int, again: bool):
     """A shard's rows -> lines that repeat one of their class, without a partner; or lines with an earlier line that they may match,
     and whether a list has more of them. again: all that they may match."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        if key[0].as_py() == 0:
-            return _repeats(rows)
+    def joined(rows: pa.Table) -> pa.Table:
         x = _Entries(rows, percent)
         if again:
             a, b, far = (np.concatenate(y) for y in zip((np.zeros(0, np.int64),) * 3, *x.pairs(None)))
@@ -433,6 +458,12 @@ def _join(percent: int, again: bool):
         a, b = np.divmod(both, max(1, n))
         return _found((x.doc[a], x.tie[a], x.line[a]), (x.doc[b], x.tie[b], x.line[b]), far[at], flagged[a])
 
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        give_back()
+        out = _repeats(rows) if key[0].as_py() == 0 else joined(rows)
+        give_back()
+        return out
+
     return run
 
 
@@ -456,7 +487,7 @@ def _wanted(keys: bool):
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=["doc_id", "tie", "line", "size", "wide", "keys"])
 
-    return run
+    return lean(run)
 
 
 def match(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -475,7 +506,7 @@ def _verify(percent: int):
             ok = [i for i, (x, y) in enumerate(zip(batch.column("keys").to_pylist(), batch.column("of_keys").to_pylist())) if match(unpack_sorted(x), unpack_sorted(y), percent)]
             yield batch.select(_PLACE).take(pa.array(ok, pa.int64()))
 
-    return run
+    return lean(run)
 
 
 _PARTNER = dict(zip(_PLACE, ("of_doc", "of_tie", "of_line")))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialise, table
 from tidemark.llm.graph import components
-from tidemark.llm.packed import Hasher, mix, pack_sorted, portions, unpack_sorted
+from tidemark.llm.packed import Hasher, lean, mix, pack_sorted, portions, unpack_sorted
 
 BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
@@ -116,7 +116,7 @@ def _sketch(k: int):
                 bands.append(band_keys(signature(keys)).tobytes() if len(keys) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "n", "digest", "bands"])
 
-    return run
+    return lean(run)
 
 
 def _full(k: int):
@@ -128,7 +128,7 @@ def _full(k: int):
             sets = list(_sets(hasher, batch, k))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.array([pack_sorted(x) for x in sets], pa.binary())], names=["doc_id", "sig", "keys"])
 
-    return run
+    return lean(run)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def _verify(percent: int):
             ok = [i for i in left.tolist() if linked(unpack_sorted(batch.column("keys_a")[i].as_py()), unpack_sorted(batch.column("keys_b")[i].as_py()), percent)]
             yield batch.select(["a", "b"]).take(pa.array(ok, pa.int64()))
 
-    return run
+    return lean(run)
 
 
 def _rest(percent: int):
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketched = materialise(rows.mapInArrow(_sketch(shingle), "doc_id long, n long, digest binary, bands binary"), "near-sketches")
     classes = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     heads = sketched.filter("digest IS NOT NULL").join(classes.select("digest", F.col("rep").alias("doc_id")), on=["digest", "doc_id"], how="left_semi").select("doc_id", "bands")
-    bands = heads.mapInArrow(_bands, "key long, doc_id long")
+    bands = heads.mapInArrow(lean(_bands), "key long, doc_id long")
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("key", "b")
     stars = materialise(bands.join(hubs, on="key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "near-stars")
 

@@ -7,7 +7,8 @@ shuffle's compression makes use of.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +135,22 @@ def portions(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def give_back() -> None:
+    """Return to the system what is free: the allocators keep it, and a worker that Spark reuses holds it beside all that runs later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, on memory that the worker's last task and this one give back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
